@@ -61,8 +61,8 @@ def input_bytes(df: DataFrame) -> int:
 
 def parts_for(df: DataFrame, mb: float) -> int:
     """A number of partitions of about so many MB each, but no fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(least, min(200_000, input_bytes(df) / (mb * 1e6))))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return least if size >= 1 << 60 else int(max(least, size / (mb * 1e6)))  # rows that come from no file have no size
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
