@@ -46,10 +46,11 @@ def _repeat(column: pa.Array, rows: np.ndarray) -> pa.Array:
     return column.take(pa.array(rows))
 
 
-def windows(docs: DataFrame, unit: str, window: int, width: int, gram: int, blocks: tuple[int, ...]) -> DataFrame:
+def windows(docs: DataFrame, unit: str, window: int, width: int, gram: int, blocks: tuple[int, ...], after=None, schema: str | None = None) -> DataFrame:
     """id, salt, start, n, ctx, and b0, b1, ..: an anchor's first window and number of windows, and hashes.
 
-    ctx is of the whole context, b0 to bk are of the core cut at `blocks`, counted from the anchor.
+    ctx is of the whole context, b0 to bk are of the core cut at `blocks`, counted from the anchor. `after` may turn
+    the batch of each slice into another, of the given schema.
     """
     if window < width + gram - 1:
         raise ValueError("an anchor must lie inside its window")
@@ -74,10 +75,11 @@ def windows(docs: DataFrame, unit: str, window: int, width: int, gram: int, bloc
             begin = at[rows] + firsts
             out = [_repeat(part.column(0), rows), _repeat(part.column(1), rows), pa.array(firsts), pa.array(counts), pa.array(roll.spans(begin, begin + counts - 1 + window).view(np.int64))]
             out += [pa.array(roll.spans(places + a, places + b).view(np.int64)) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays(out, names)
+            found = pa.RecordBatch.from_arrays(out, names)
+            yield after(found) if after else found
 
     names = ["id", "salt", "start", "n", "ctx", *(f"b{i}" for i in range(len(cuts) - 1))]
-    return docs.mapInArrow(run, ROW + ", " + ", ".join(f"{x} long" for x in names[4:]))
+    return docs.mapInArrow(run, schema or ROW + ", " + ", ".join(f"{x} long" for x in names[4:]))
 
 
 def same(left: str, right: str) -> Column:
