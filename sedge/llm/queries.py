@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedge.sources.tables import table
 
-from . import bpe, html_extract, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe, html_extract, langid, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
