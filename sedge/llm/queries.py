@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedge.sources.tables import table
 
-from . import bpe, html_extract, langid, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe, decontaminate, html_extract, langid, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
