@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedge.sources.tables import table
 
-from . import bpe, decontaminate, html_extract, langid, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe, decontaminate, html_extract, langid, minhash, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
