@@ -27,6 +27,8 @@ from .common import Scratch, parts_for, slices
 
 #: Winnowing: places of which the least is an anchor, and bytes hashed at each.
 WIDTH, GRAM = 128, 24
+#: MB of input for each task of a sort.
+TASK_MB = 16
 _RANK = 40  # bits of a rank that number the pairs of one task
 
 
@@ -90,11 +92,10 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
     return scratch.table(joined.select(F.coalesce("fixed", F.shiftleft("pid", _RANK) + F.col("local")).alias("rank"), *keep), name)
 
 
-def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, doublings: int = 1) -> DataFrame:
-    """id, salt, start, n: runs of windows that also start elsewhere. docs: id, salt, text of repeats.keyed()."""
+def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, n: int, doublings: int = 1) -> DataFrame:
+    """id, salt, start, n: runs of windows that also start elsewhere. docs: id, salt, text of repeats.keyed(); n: tasks of a sort."""
     core = window - WIDTH + 1
     cuts = tuple(core >> k for k in range(doublings, 0, -1))
-    n = parts_for(docs, 24)
     found = scratch.table(repeats.windows(docs, "byte", window, WIDTH, GRAM, cuts), "anchors")
     blocks = [f"b{i}" for i in range(len(cuts) + 1)]
     here = ["id", "salt", "start", "n", "ctx"]
@@ -115,7 +116,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes that are left)."""
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    spans = scratch.table(repeated_spans(rows, window, scratch), "spans")
+    spans = scratch.table(repeated_spans(rows, window, scratch, parts_for(docs, TASK_MB)), "spans")
 
     def run(batches):
         for part, raw, bounds in slices(batches, "text"):

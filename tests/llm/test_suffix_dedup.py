@@ -40,7 +40,7 @@ def test_removal_matches_brute_force(spark, monkeypatch, seed, doublings, group)
     monkeypatch.setattr(suffix_dedup, "GRAM", 4)
     monkeypatch.setattr(repeats, "GROUP", group)
     find = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, w, s: find(d, w, s, doublings))
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, w, s, n: find(d, w, s, n, doublings))
     texts = corpus(seed)
     rows = [(i, t, 5, "r") for i, t in enumerate(texts)]
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(7), window=24).collect()
