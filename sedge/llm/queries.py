@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedge.sources.tables import table
 
-from . import bpe, decontaminate, html_extract, langid, minhash, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe, decontaminate, html_extract, langid, lm, minhash, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +19,11 @@ def query(run):
     return run
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400)
