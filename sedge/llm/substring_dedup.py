@@ -34,6 +34,8 @@ from .common import Scratch, find_words, mix, parts_for, slices
 WINDOW, WIDTH, GRAM = 20, 15, 6
 #: Batches that the whole-table query feeds to the index, in order of ids.
 BATCHES = 4
+#: MB of input for each bucket of a run.
+BUCKET_MB = 24
 _COLUMNS = ["key", "ctx", "id", "salt", "start", "n", "kind"]
 _SCHEMA = "key long, ctx long, id long, salt long, start long, n long, kind int"
 FIRST, LATER = 0, 1
@@ -164,10 +166,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(rows: DataFrame, scratch: Scratch, buckets: int, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """id, salt, start, n: runs of word windows that also start earlier. rows: id, salt, text of repeats.keyed()."""
     spark = rows.sparkSession
-    index = FingerprintIndex(spark, scratch, parts_for(rows, 24))
+    index = FingerprintIndex(spark, scratch, buckets)
     cuts = rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     width = min(WIDTH, window - GRAM + 1)
@@ -190,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """id_col, n_words, n_removed, kept (the words that are left, joined by one space)."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    spans = repeated_spans(rows, scratch, window, batches)
+    spans = repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches)
     return cut_words(repeats.with_spans(rows, spans, window)).withColumnRenamed("id", id_col)
 
 
