@@ -181,3 +181,9 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: st
     joined = numbered.join(found, "rid", "left")
     coverage, ids = F.coalesce("most", F.lit(0.0)), F.coalesce("found", F.array().cast("array<long>"))
     return joined.select(*own, (coverage >= threshold).alias("contaminated"), coverage.alias("coverage"), ids.alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all their columns, without the contaminated rows."""
+    rows = docs.select(F.col(doc_id).alias("of"), F.col(doc_text).alias("text"), F.struct(*docs.columns).alias("row"))
+    return mark(rows, items, "of", "text", item_id, item_text, seed, threshold).where(~F.col("contaminated")).select("row.*")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Rolling, find_words, slices
 
@@ -209,23 +210,42 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred, score: the language with the largest pooled probability, and that probability."""
-    schema = "id long, lang_pred string, score double"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike("\\p{L}"), F.lit(False)).alias("letters"))
-    if net is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+def _run(net: Network, text: int, letters: int, keep: list[int], names: list[str]):
+    """For batches with the text and whether it has letters: the columns of keep, the language and its probability."""
 
     def run(batches):
         use = Labeller(net)
-        names = np.array([*net.languages, UNKNOWN], object)
-        for part, raw, bounds in slices(batches, "text", 1 << 21):
+        of = np.array([*net.languages, UNKNOWN], object)
+        for part, raw, bounds in slices(batches, names[text], 1 << 21):
             p = use.pooled(raw, bounds)
-            best, letters = p.argmax(axis=1), part.column(2).to_numpy(zero_copy_only=False)
-            score = np.where(letters, p[np.arange(len(p)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[np.where(letters, best, len(net.languages))].tolist(), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+            best, has = p.argmax(axis=1), part.column(letters).to_numpy(zero_copy_only=False)
+            score = np.where(has, p[np.arange(len(p)), best], 0.0)
+            found = pa.array(of[np.where(has, best, len(net.languages))].tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), found, pa.array(score)], [*(names[k] for k in keep), "lang_pred", "score"])
+
+    return run
+
+
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.cast("string").rlike("\\p{L}"), F.lit(False))
+
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+def accepted(docs: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose language is told with at least this probability."""
+    if net is None:
+        return docs.limit(0)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), has_letters(F.col(text_col)).alias("letters"), F.struct(*docs.columns).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(_run(net, 0, 1, [2], rows.columns), schema)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+
+def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, lang_pred, score: the language with the largest pooled probability, and that probability."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), has_letters(F.col(text_col)).alias("letters"))
+    if net is None:
+        return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.mapInArrow(_run(net, 1, 2, [0], rows.columns), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

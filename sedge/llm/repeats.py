@@ -27,11 +27,11 @@ GROUP = 4096
 
 
 def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, salt, text of each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """id, salt, text of each row of docs, and the whole row as a struct (of which a plan reads what it uses)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     often = scratch.table(rows.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("same")), "often")
     joined = rows.join(often.withColumn("hit", F.lit(True)), F.col("id").eqNullSafe(F.col("same")), "left")
-    return joined.select("id", F.when(F.col("hit"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt"), "text")
+    return joined.select("id", F.when(F.col("hit"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt"), "text", "row")
 
 
 def symbols(raw: np.ndarray, bounds: np.ndarray, unit: str, seed: int) -> tuple[np.ndarray, np.ndarray, tuple | None]:
@@ -79,7 +79,7 @@ def windows(docs: DataFrame, unit: str, window: int, width: int, gram: int, bloc
             yield after(found) if after else found
 
     names = ["id", "salt", "start", "n", "ctx", *(f"b{i}" for i in range(len(cuts) - 1))]
-    return docs.mapInArrow(run, schema or ROW + ", " + ", ".join(f"{x} long" for x in names[4:]))
+    return docs.select("id", "salt", "text").mapInArrow(run, schema or ROW + ", " + ", ".join(f"{x} long" for x in names[4:]))
 
 
 def same(left: str, right: str) -> Column:
@@ -174,10 +174,10 @@ def repeated_windows(hashed: DataFrame, scratch: Scratch, later_only: bool) -> D
     return out.union(hit.select("id", "salt", "start", F.lit(1).cast("long").alias("n")))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """id, text, spans: docs with the (start, end) of the symbols that runs of windows (id, salt, start, n) cover."""
+def with_spans(docs: DataFrame, spans: DataFrame, window: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, spans and the columns more: docs with the (start, end) of the symbols that runs of windows (id, salt, start, n) cover."""
     by = spans.groupBy("id", "salt").agg(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("n") - 1 + window).alias("end"))).alias("spans"))
-    return docs.alias("d").join(by.alias("s"), same("d", "s"), "left").select(F.col("d.id").alias("id"), "text", "spans")
+    return docs.alias("d").join(by.alias("s"), same("d", "s"), "left").select(F.col("d.id").alias("id"), "text", "spans", *more)
 
 
 def covered(part: pa.RecordBatch, at: np.ndarray) -> np.ndarray:

@@ -236,3 +236,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = nodes.join(classes, nodes.rep == classes.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     joined = prints.join(known, prints.fp == known.of, "left")
     return joined.select(F.col("id").alias(id_col), hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = MAX_BITS) -> DataFrame:
+    """docs, all their columns, with one row of each class: that of the least id (if several have it, of the least text).
+
+    Rows without an id are in no class and stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, seed, most)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(first, F.col("id") == F.col("first"), "left_semi")
+    one = kept.groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
+    return one.union(rows.where("id is null").select("row")).select("row.*")

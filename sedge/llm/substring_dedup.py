@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
 from .common import Scratch, find_words, mix, parts_for, slices
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 
 def cut_words(marked: DataFrame) -> DataFrame:
-    """id, n_words, n_removed, kept of rows with id, text and spans of words."""
+    """id, n_words, n_removed, kept, and the columns after the first three, of rows with id, text and spans of words."""
 
     def run(batches):
         for part, raw, bounds in slices(batches, "text"):
@@ -206,12 +207,27 @@ def cut_words(marked: DataFrame) -> DataFrame:
             gone = repeats.covered(part, at)
             removed = np.append(0, np.cumsum(gone))
             kept = []
-            for a, b, s in zip(at, at[1:], bounds):
+            for a, b in zip(at, at[1:]):
                 if removed[a] == removed[b]:
                     kept.append(b" ".join(raw[starts[a] : ends[b - 1]].tobytes().split()) if b > a else b"")
                 else:
                     left = np.flatnonzero(~gone[a:b]) + a
                     kept.append(b" ".join(raw[i:j].tobytes() for i, j in zip(starts[left], ends[left])))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(np.diff(removed[at])), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            out = [part.column(0), pa.array(counts), pa.array(np.diff(removed[at])), pa.array(kept, pa.binary()).cast(pa.string()), *part.columns[3:]]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+    names = ["id", "n_words", "n_removed", "kept", *marked.columns[3:]]
+    schema = T.StructType.fromDDL("id long, n_words long, n_removed long, kept string")
+    for c in marked.columns[3:]:
+        schema = schema.add(marked.schema[c])
+    return marked.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """docs, all their columns, without the repeated words; a row with none stays as it is, one with no other words goes."""
+    scratch = Scratch(docs.sparkSession, "substring")
+    rows = repeats.keyed(docs, scratch, id_col, text_col)
+    cut = cut_words(repeats.with_spans(rows, repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches), window, ("row",)))
+    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    text = F.when(F.col("n_removed") == 0, F.col(f"row.{text_col}")).otherwise(F.col("kept"))
+    return left.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
