@@ -116,12 +116,15 @@ class FingerprintIndex:
     def _write(self, df: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        df.write.bucketBy(self.buckets, "key").sortBy("key", "ctx").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "key").sortBy("key", "ctx").option("compression", "zstd").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
         return name
 
     def _firsts(self, name: str) -> DataFrame:
         return self.spark.table(name).where(F.col("kind") == FIRST)
 
+    def _edges(self, found: DataFrame) -> None:
+        self.edges.append(self.scratch.table(found.select("key", "id", "salt", "start", "n"), f"edges-{len(self.edges)}"))
+
     def add(self, anchors: DataFrame) -> None:
         order = ["key", "ctx", "id", "salt", "start"]
         run = anchors.repartition(self.buckets, "key").sortWithinPartitions(*order).mapInArrow(_sorted_marks, _SCHEMA)
@@ -131,13 +134,12 @@ class FingerprintIndex:
             new = self._firsts(name)
             self.spans.append(self.scratch.table(self.spark.table(name).where(F.col("kind") == LATER).select(*place), f"later-{name}"))
             often = new.groupBy("key").count().where("count > 1").select("key")
-            edges = new.join(often.hint("merge"), "key", "left_semi").select("key", *place)
-            for old, _ in self.runs:
+            self._edges(new.join(often.hint("merge"), "key", "left_semi"))
+            for old, _ in self.runs:  # each join is a job of its own, so that one pair of sorted runs is in memory at a time
                 was = self._firsts(old)
                 self.spans.append(self.scratch.table(new.join(was.select("key", "ctx").hint("merge"), ["key", "ctx"], "left_semi").select(*place), f"met-{name}-{old}"))
-                edges = edges.union(new.join(was.select("key").hint("merge"), "key", "left_semi").select("key", *place))
-                edges = edges.union(was.join(new.select("key").hint("merge"), "key", "left_semi").select("key", *place))
-            self.edges.append(self.scratch.table(edges, f"edges-{name}"))
+                self._edges(new.join(was.select("key").hint("merge"), "key", "left_semi"))
+                self._edges(was.join(new.select("key").hint("merge"), "key", "left_semi"))
             self.runs.append((name, 1))
             while len(self.runs) > 1 and self.runs[-1][1] >= self.runs[-2][1]:
                 self._compact()
