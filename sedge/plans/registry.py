@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "region_revenue"
+FLAGSHIP = "rrf_hybrid"
 
 
 def _plans():
-    from sedge.plans import relational
+    from sedge.plans import relational, retrieval, text
 
-    return [relational.PLANS]
+    return [relational.PLANS, retrieval.PLANS, text.PLANS]
 
 
 def queries():

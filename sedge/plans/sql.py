@@ -1,22 +1,41 @@
-"""A query given as SQL: it runs on Spark over temporary views, and its oracle on DuckDB."""
+"""Queries given as SQL over named tables, with an oracle for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sedge.sources.tables import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def sql_over(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """spark.sql over DataFrames by name; they are common table expressions, so no view stays behind."""
+    text = text.strip()
+    recursive = text.upper().startswith("WITH RECURSIVE")
+    has_with = recursive or text.upper().startswith("WITH")
+    body = text.split(None, 2 if recursive else 1)[-1] if has_with else text
+    heads = ", ".join(f"{name} AS (SELECT * FROM {{{name}__}})" for name in tables)
+    escaped = body.replace("{", "{{").replace("}", "}}")
+    full = f"WITH {'RECURSIVE ' if recursive else ''}{heads}{', ' if has_with else ' '}{escaped}"
+    return spark.sql(full, **{f"{name}__": df for name, df in tables.items()})
+
 
-def plan(tables: str, spark_sql: str, oracle: str | None = None):
-    """(query, oracle SQL). Names in `tables` are bound as parameters' relations, so no session view is left behind."""
+def plan(tables: str, spark_sql: str, oracle: str | None = None) -> tuple[Query, str]:
+    """(query, oracle) of one SQL text that both engines read, or of one for each."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        bound = {name: table(spark, folder, name) for name in tables.split()}
-        text = spark_sql
-        return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {{{n}__}})" for n in bound) + " " + _braces(text), **{f"{n}__": df for n, df in bound.items()}) if not text.lstrip().upper().startswith("WITH") else spark.sql("WITH " + ("RECURSIVE " if text.lstrip().upper().startswith("WITH RECURSIVE") else "") + ", ".join(f"{n} AS (SELECT * FROM {{{n}__}})" for n in bound) + ", " + _braces(text.lstrip().split(None, 2 if text.lstrip().upper().startswith("WITH RECURSIVE") else 1)[-1]), **{f"{n}__": df for n, df in bound.items()})
+        return sql_over(spark, spark_sql, **{name: table(spark, folder, name) for name in tables.split()})
 
     return run, oracle or spark_sql
 
 
-def _braces(text: str) -> str:
-    return text.replace("{", "{{").replace("}", "}}")
+def frame(tables: str, build: Callable[..., DataFrame], oracle: str | None = None) -> tuple[Query, str | None]:
+    """(query, oracle) of a function that takes the tables in order."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return build(*(table(spark, folder, name) for name in tables.split()))
+
+    return run, oracle
