@@ -6,9 +6,9 @@ FLAGSHIP = "rrf_hybrid"
 
 
 def _plans():
-    from sedge.plans import relational, retrieval, text
+    from sedge.plans import events, relational, retrieval, text
 
-    return [relational.PLANS, retrieval.PLANS, text.PLANS]
+    return [events.PLANS, relational.PLANS, retrieval.PLANS, text.PLANS]
 
 
 def queries():
