@@ -6,6 +6,7 @@ memory follows the slice (or one document, if that is longer) and never the part
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when their objects are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)

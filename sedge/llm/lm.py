@@ -30,7 +30,7 @@ ORDER = 2
 #: Fold (of 10) of the training documents on which weights are learnt; fold 0 is not trained on.
 HELD = 9
 #: MB of input for a block of documents, and for a range of hashes.
-BLOCK_MB, RANGE_MB = 4, 16
+BLOCK_MB, RANGE_MB = 4, 4
 #: Rounds of expectation-maximisation at most, and the gain in log10 probability per token at which they end.
 ROUNDS, GAIN = 12, 1e-5
 _U = np.uint64
@@ -82,6 +82,32 @@ class Block:
         return np.bincount(self.where[k][use], minlength=len(self.hashes[k]))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """block, blob: rows (id, text, fold, block) of a batch and block together, compressed, as they are shuffled twice."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(3).to_numpy()
+            order = np.argsort(block, kind="stable")
+            batch, block = batch.take(pa.array(order)).select([0, 1, 2]), block[order]
+            at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+            for s in range(0, len(at) - 1, 64):  # a few blobs at a time
+                pieces = []
+                for a, b in zip(at[s : s + 64], at[s + 1 : s + 65]):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(a, b - a))
+                    pieces.append(zstandard.compress(sink.getvalue().to_pybytes(), 3))
+                yield pa.RecordBatch.from_arrays([pa.array(block[at[s : s + len(pieces)]].astype(np.int32)), pa.array(pieces, pa.binary())], ["block", "blob"])
+
+    return rows.select("id", "text", "fold", "block").mapInArrow(run, "block int, blob binary")
+
+
+def unpacked(blobs: list[bytes]) -> pa.Table:
+    """The rows (id, text, fold) of packed blobs."""
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(b, 1 << 34)).read_all() for b in blobs]).combine_chunks()
+
+
 def _cuts(hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Where each of the equal ranges of the hash begins in a sorted list."""
     return np.searchsorted(hashes, np.array([(r << bits) // ranges for r in range(1, ranges)], _U)) if ranges > 1 else np.zeros(0, np.int64)
@@ -173,15 +199,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = rows.withColumn("block", F.when(F.col("fold") == HELD, blocks + F.pmod(spread, F.lit(apart))).otherwise(F.pmod(spread, F.lit(blocks))).cast("int"))
 
     def send(batches):
-        held: dict[int, list[pa.RecordBatch]] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            block = batch.column(3).to_numpy()
-            for b in np.unique(block):
-                held.setdefault(int(b), []).append(batch.filter(pa.array(block == b)).select([1, 2]))
+            for b, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(b, []).append(blob)
         while held:
-            b, parts = held.popitem()
-            t = pa.Table.from_batches(parts).combine_chunks()
-            own, f = Block(t.column(0), order), t.column(1).to_numpy()
+            b, blobs = held.popitem()
+            t = unpacked(blobs)
+            own, f = Block(t.column("text"), order), t.column("fold").to_numpy()
             columns = []
             for k in range(order):
                 at = _cuts(own.hashes[k], ranges, _bits(k))
@@ -192,41 +217,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["part", "block", "blob"])
 
     def answer(batches):
-        held: dict[int, list[tuple[int, list[np.ndarray]]]] = {}
+        held: list[tuple[int, bytes]] = []
+        now = None
         for batch in batches:
             for part, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                got = []
-                for piece in _split(blob):
-                    delta, main, aside = unpack(piece, 3)
-                    got += [np.cumsum(delta, dtype=_U), main, aside]
-                held.setdefault(part, []).append((block, got))
-        while held:
-            part, found = held.popitem()
-            blobs, *facts = _answers(found, order)
-            for i, (block, blob) in enumerate(blobs):
-                own = facts if i == 0 else [0] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([x], pa.int64()) for x in own)], ["block", "part", "blob", "main_kinds", "main_tokens", "kinds", "tokens"])
-
-    dealt = rows.select("id", "text", "fold", "block").repartition(blocks, "block")
-    sent = dealt.mapInArrow(send, "part int, block int, blob binary")
-    answers = scratch.table(sent.repartition(ranges, "part").mapInArrow(answer, "block int, part int, blob binary, main_kinds long, main_tokens long, kinds long, tokens long"), "answers")
+                if part != now and held:  # rows come by part, so one is in memory at a time
+                    yield from solved(now, held)
+                    held = []
+                now = part
+                held.append((block, blob))
+        if held:
+            yield from solved(now, held)
+
+    def solved(part: int, sent: list[tuple[int, bytes]]):
+        found = []
+        for block, blob in sent:
+            got = []
+            for piece in _split(blob):
+                delta, main, aside = unpack(piece, 3)
+                got += [np.cumsum(delta, dtype=_U), main.astype(np.uint32), aside.astype(np.uint32)]
+            found.append((block, got))
+        blobs, *facts = _answers(found, order)
+        for i, (block, blob) in enumerate(blobs):
+            own = facts if i == 0 else [0] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([x], pa.int64()) for x in own)], ["block", "part", "blob", "main_kinds", "main_tokens", "kinds", "tokens"])
+
+    sent = packed(rows).repartition(blocks, "block").mapInArrow(send, "part int, block int, blob binary")
+    answers = scratch.table(sent.repartition(ranges, "part").sortWithinPartitions("part", "block").mapInArrow(answer, "block int, part int, blob binary, main_kinds long, main_tokens long, kinds long, tokens long"), "answers")
     facts = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main_kinds", "main_tokens", "kinds", "tokens"))).first()
 
-    def tuples(key, texts: pa.Table, got: pa.Table) -> pa.Table:
-        own = Block(texts.combine_chunks().column("text"), order)
+    del sent
+    scratch.settle()
+
+    def tuples(key, blobs: pa.Table, got: pa.Table) -> pa.Table:
+        own = Block(unpacked(blobs.column("blob").to_pylist()).column("text"), order)
         model = Model(own, list(zip(got.column("part").to_pylist(), got.column("blob").to_pylist())), order, True, facts.main_kinds, facts.main_tokens)
         rows = np.column_stack([model.bucket, *model.estimates[1:]])[model.real]
         kinds, n = np.unique(rows, axis=0, return_counts=True)
         return pa.table({"bucket": pa.array(kinds[:, 0].astype(np.int32)), **{f"p{k}": pa.array(kinds[:, k]) for k in range(1, order + 1)}, "n": pa.array(n, pa.int64())})
 
     given = answers.select("block", "part", "blob")
-    aside = rows.where(F.col("fold") == HELD).select("text", "block").groupBy("block").cogroup(given.where(F.col("block") >= blocks).groupBy("block"))
+    aside = packed(rows.where(F.col("fold") == HELD)).groupBy("block").cogroup(given.where(F.col("block") >= blocks).groupBy("block"))
     held = scratch.table(aside.applyInArrow(tuples, "bucket int, " + ", ".join(f"p{k} double" for k in range(1, order + 1)) + ", n long"), "held")
     weights = learn_weights(held, order, 1 / (facts.main_kinds + 1))
     fallback = weights.get(0) or [0.1, 0.9] + [0.0] * (order - 1)
 
-    def scores(key, texts: pa.Table, got: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
+    def scores(key, blobs: pa.Table, got: pa.Table) -> pa.Table:
+        texts = unpacked(blobs.column("blob").to_pylist())
         own = Block(texts.column("text"), order)
         model = Model(own, list(zip(got.column("part").to_pylist(), got.column("blob").to_pylist())), order, False, facts.kinds, facts.tokens)
         lead = own.at[:-1]
@@ -235,7 +272,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         base = np.log10((count + 0.1) / (facts.tokens + 0.1 * (facts.kinds + 1)))
         return pa.table({"id": texts.column("id"), "fold": texts.column("fold"), "n_tokens": pa.array(own.sizes - 1), "n_known": pa.array(total(count > 0).astype(np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(model.log10(weights, fallback)))})
 
-    both = rows.groupBy("block").cogroup(given.groupBy("block"))
+    both = packed(rows).groupBy("block").cogroup(given.groupBy("block"))
     out = both.applyInArrow(scores, "id long, fold int, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(facts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
