@@ -6,9 +6,9 @@ FLAGSHIP = "rrf_hybrid"
 
 
 def _plans():
-    from sedge.plans import events, graph, relational, retrieval, text
+    from sedge.plans import documents, events, graph, relational, retrieval, text
 
-    return [events.PLANS, graph.PLANS, relational.PLANS, retrieval.PLANS, text.PLANS]
+    return [documents.PLANS, events.PLANS, graph.PLANS, relational.PLANS, retrieval.PLANS, text.PLANS]
 
 
 def queries():
