@@ -85,10 +85,12 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     spark = vectors.sparkSession
     wide = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows, blocks = wide(vectors), []
-    asked = sorted(r.id for r in wide(queries).select("id").collect())
-    for at in range(0, len(asked), QUERY_BLOCK):
-        ids = asked[at : at + QUERY_BLOCK]
-        block = wide(queries).where(F.col("id").between(ids[0], ids[-1])).collect()
+    asked = wide(queries)
+    many = -(-asked.count() // QUERY_BLOCK)
+    for at in range(many):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(many)) == at).collect()  # about QUERY_BLOCK vectors
+        if not block:
+            continue
         ids, q = np.array([r.id for r in block]), np.array([r.v for r in block])
         held = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
