@@ -39,7 +39,7 @@ SPREAD = 1 << 20
 #: Pre-tokens at a chunk's cut end that are not trusted: the cut can change the last one and white space before it.
 UNSURE = 2
 #: Distinct pieces that a worker remembers at most.
-PIECES = 300_000
+PIECES = 150_000
 
 
 @lru_cache(4)

@@ -129,19 +129,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any span of an array of symbols from prefix sums; seed picks the function."""
+    """Polynomial hashes modulo 2**64 of any span of an array of symbols from prefix sums; seed picks the symbols' codes.
 
-    _tables: dict[int, tuple] = {}
+    All seeds share one base, so a worker holds one table of its powers, as long as the longest array it has seen.
+    """
+
+    _base = int(np.random.Generator(np.random.PCG64(0)).integers(1 << 60, 1 << 61)) * 8 + 5  # odd, and of maximal order
+    _codes: dict[int, np.ndarray] = {}
+    _powers = [np.ones(1, _U), np.ones(1, _U)]  # of the base and of its inverse
 
     def __init__(self, symbols: np.ndarray, seed: int = 1):
-        if seed not in self._tables:
-            draw = np.random.Generator(np.random.PCG64(seed))
-            base = int(draw.integers(1 << 62, 1 << 63)) * 2 + 1 & (1 << 64) - 1
-            base = base & ~7 | 5  # of maximal order among odd numbers
-            self._tables[seed] = (draw.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1), base, pow(base, -1, 1 << 64), [np.ones(1, _U), np.ones(1, _U)])
-        codes, base, inverse, powers = self._tables[seed]
-        n = len(symbols)
-        for k, b in enumerate((base, inverse)):
+        if seed not in self._codes:
+            self._codes[seed] = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+        codes, powers, n = self._codes[seed], self._powers, len(symbols)
+        for k, b in enumerate((self._base, pow(self._base, -1, 1 << 64))):
             if len(powers[k]) <= n:
                 p = np.full(max(n + 1, 1 << 16), b, _U)
                 p[0] = 1

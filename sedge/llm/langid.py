@@ -29,7 +29,7 @@ SHOUTED = 5
 #: Bytes of a segment at most; units of a layer; passes over the sample; segments of a step.
 SEGMENT, HIDDEN, EPOCHS, BATCH = 24, 24, 3, 256
 #: Segments whose labels a worker keeps at most.
-KNOWN = 400_000
+KNOWN = 200_000
 UNKNOWN = "und"
 
 
@@ -216,7 +216,7 @@ def _run(net: Network, text: int, letters: int, keep: list[int], names: list[str
     def run(batches):
         use = Labeller(net)
         of = np.array([*net.languages, UNKNOWN], object)
-        for part, raw, bounds in slices(batches, names[text], 1 << 21):
+        for part, raw, bounds in slices(batches, names[text]):
             p = use.pooled(raw, bounds)
             best, has = p.argmax(axis=1), part.column(letters).to_numpy(zero_copy_only=False)
             score = np.where(has, p[np.arange(len(p)), best], 0.0)
