@@ -198,7 +198,27 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") ->
     return coded.select(F.col(id_col).alias("id"), "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
+    """id_col, n_tokens, ids and decoded of encode() and decode(), texts of one task's size in one pass of one worker."""
+    schema = "id long, n_tokens long, ids binary, decoded binary"
+
+    def both(batches):
+        use = coder(path, pattern)
+        for batch in batches:
+            for part in _out(batch, (use.encode(t or "", chunk, overlap) for t in batch.column(1).to_pylist())):
+                texts = [use.decode(x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["id", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    whole = rows.where(size <= spread).mapInArrow(both, schema)
+    long = rows.where(size > spread)
+    if long.isEmpty():
+        return whole.withColumnRenamed("id", id_col)
+    dealt = decode(encode(long, path, pattern, "id", "text", chunk, overlap, spread), path, pattern, "id")
+    return whole.union(dealt).withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 of encode() and decode()."""
-    both = decode(encode(docs, path, pattern, id_col), path, pattern, id_col)
-    return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """id_col, n_tokens, ids_sha256, decoded_sha256 of round_trip()."""
+    return round_trip(docs, path, pattern, id_col).select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

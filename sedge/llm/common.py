@@ -13,7 +13,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space bytes that separate words: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, dtype=bool)
@@ -60,6 +61,17 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
+def rest_of(docs: DataFrame, text_col: str) -> Column:
+    """A struct of all columns but the text, and whether that is null: a row's text then travels once."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col), F.col(text_col).isNull().alias("no_text"))
+
+
+def whole_rows(df: DataFrame, columns: list[str], text_col: str, text: Column) -> DataFrame:
+    """The columns again, from `rest` and a text that is null again where it was."""
+    back = F.when(~F.col("rest.no_text"), text)
+    return df.select(*(back.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the bytes that a scan of df reads; only used to size partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

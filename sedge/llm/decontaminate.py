@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, as_bytes, find_words, slices
+from .common import Rolling, Scratch, as_bytes, find_words, rest_of, slices, whole_rows
 
 #: Words of a seed, which is also the shortest tile.
 SEED = 4
@@ -185,5 +185,6 @@ def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: st
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all their columns, without the contaminated rows."""
-    rows = docs.select(F.col(doc_id).alias("of"), F.col(doc_text).alias("text"), F.struct(*docs.columns).alias("row"))
-    return mark(rows, items, "of", "text", item_id, item_text, seed, threshold).where(~F.col("contaminated")).select("row.*")
+    rows = docs.select(F.col(doc_id).alias("of"), F.col(doc_text).alias("text"), rest_of(docs, doc_text).alias("rest"))
+    kept = mark(rows, items, "of", "text", item_id, item_text, seed, threshold).where(~F.col("contaminated"))
+    return whole_rows(kept, docs.columns, doc_text, F.col("text"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, find_words, slices
+from .common import Rolling, find_words, rest_of, slices, whole_rows
 
 #: The bound of the training sample: rows, and words of each.
 DOCUMENTS, WORDS = 3000, 40
@@ -234,10 +234,11 @@ def accepted(docs: DataFrame, net: Network | None, least: float, text_col: str =
     """The rows of docs, all their columns, whose language is told with at least this probability."""
     if net is None:
         return docs.limit(0)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), has_letters(F.col(text_col)).alias("letters"), F.struct(*docs.columns).alias("row"))
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = rows.mapInArrow(_run(net, 0, 1, [2], rows.columns), schema)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"), has_letters(F.col(text_col)).alias("letters"), rest_of(docs, text_col).alias("rest"))
+    schema = T.StructType([rows.schema["text"], rows.schema["rest"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(_run(net, 0, 1, [0, 2], rows.columns), schema)
+    return whole_rows(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns, text_col, F.col("text"))
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, anchors, find_words, slices
+from .common import Rolling, Scratch, anchors, find_words, rest_of, slices
 
 _U = np.uint64
 _NONE = -(1 << 63)
@@ -27,11 +27,11 @@ GROUP = 4096
 
 
 def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, salt, text of each row of docs, and the whole row as a struct (of which a plan reads what it uses)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    """id, salt, text of each row of docs, and the rest of it (which a plan that doesn't use it doesn't read)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest_of(docs, text_col).alias("rest"))
     often = scratch.table(rows.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("same")), "often")
     joined = rows.join(often.withColumn("hit", F.lit(True)), F.col("id").eqNullSafe(F.col("same")), "left")
-    return joined.select("id", F.when(F.col("hit"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt"), "text", "row")
+    return joined.select("id", F.when(F.col("hit"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt"), "text", "rest")
 
 
 def symbols(raw: np.ndarray, bounds: np.ndarray, unit: str, seed: int) -> tuple[np.ndarray, np.ndarray, tuple | None]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, rest_of, slices, whole_rows
 
 _U = np.uint64
 _ODD = _U(0x5555555555555555)
@@ -245,7 +245,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = near_duplicates(docs, id_col, text_col, shingle, seed, most)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest_of(docs, text_col).alias("rest")).alias("row"))
     kept = rows.join(first, F.col("id") == F.col("first"), "left_semi")
-    one = kept.groupBy("id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
-    return one.union(rows.where("id is null").select("row")).select("row.*")
+    one = kept.groupBy("id").agg(F.min_by("row", F.col("row.text")).alias("row")).select("row")
+    both = one.union(rows.where("id is null").select("row")).select("row.*")
+    return whole_rows(both, docs.columns, text_col, F.col("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import Scratch, find_words, mix, parts_for, slices
+from .common import Scratch, find_words, mix, parts_for, slices, whole_rows
 
 #: Words of a window; places of which the least is an anchor, and words hashed at each.
 WINDOW, WIDTH, GRAM = 20, 15, 6
@@ -199,8 +199,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return cut_words(repeats.with_spans(rows, spans, window)).withColumnRenamed("id", id_col)
 
 
-def cut_words(marked: DataFrame) -> DataFrame:
-    """id, n_words, n_removed, kept, and the columns after the first three, of rows with id, text and spans of words."""
+def cut_words(marked: DataFrame, as_they_are: bool = False) -> DataFrame:
+    """id, n_words, n_removed, kept, and the columns after the first three, of rows with id, text and spans of words.
+
+    as_they_are: a text without removed words is kept with its own white space.
+    """
 
     def run(batches):
         for part, raw, bounds in slices(batches, "text"):
@@ -209,8 +212,10 @@ def cut_words(marked: DataFrame) -> DataFrame:
             gone = repeats.covered(part, at)
             removed = np.append(0, np.cumsum(gone))
             kept = []
-            for a, b in zip(at, at[1:]):
-                if removed[a] == removed[b]:
+            for a, b, s, e in zip(at, at[1:], bounds, bounds[1:]):
+                if removed[a] == removed[b] and as_they_are:
+                    kept.append(raw[s:e].tobytes())
+                elif removed[a] == removed[b]:
                     kept.append(b" ".join(raw[starts[a] : ends[b - 1]].tobytes().split()) if b > a else b"")
                 else:
                     left = np.flatnonzero(~gone[a:b]) + a
@@ -229,7 +234,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     """docs, all their columns, without the repeated words; a row with none stays as it is, one with no other words goes."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    cut = cut_words(repeats.with_spans(rows, repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches), window, ("row",)))
+    spans = repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches)
+    cut = cut_words(repeats.with_spans(rows, spans, window, ("rest",)), as_they_are=True)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.when(F.col("n_removed") == 0, F.col(f"row.{text_col}")).otherwise(F.col("kept"))
-    return left.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return whole_rows(left, docs.columns, text_col, F.col("kept"))

@@ -52,5 +52,13 @@ def test_long_texts_are_dealt_to_tasks(spark):
     assert got == want
 
 
+def test_round_trip_deals_long_texts_too(spark):
+    enc = library()
+    rows = [(i, t, "", 0) for i, t in enumerate(texts())]
+    out = bpe.round_trip(spark.createDataFrame(rows, SCHEMA), PATH, P.PATTERN, chunk=30, overlap=12, spread=40).collect()
+    want = [(r[0], enc.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in rows]
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out) == [(i, struct.pack(f"<{len(x)}I", *x), raw) for i, x, raw in want]
+
+
 def test_no_rows(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).count() == 0
