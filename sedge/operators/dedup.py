@@ -36,7 +36,8 @@ def contained(parts: DataFrame, holders: DataFrame, part_id: str, holder_id: str
     grams = F.flatten(F.transform(long_words, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - gram + 1), lambda i: F.concat(F.lit("#"), F.substring(x, i, F.lit(gram))))))
     keys = F.array_distinct(F.concat("w", threes, grams))
     held = norm(holders, holder_id).where(F.length("n") >= least).select(F.col("id").alias("inside"), "n", keys.alias("keys"))
-    met = short.join(held.select("inside", F.explode("keys").alias("key")), "key").select("id", "inside").distinct()
+    # explode_outer: for explode() the optimizer would filter on the size of an array that it then computes once for each element
+    met = short.join(held.select("inside", F.explode_outer("keys").alias("key")), "key").select("id", "inside").distinct()
     both = met.join(short.select("id", "part"), "id").join(held.select("inside", "n"), "inside").where(F.col("n").contains(F.col("part")))
     return both.groupBy("id").agg(F.min("inside").alias("inside"), F.count("*").alias("holders"))
 
@@ -48,10 +49,10 @@ def likeness_pairs(left: DataFrame, right: DataFrame, least: float, left_id: str
     """
     sets = lambda df, i: df.select(F.col(i).alias("id"), F.array_sort(t.tokens(F.col("text"))).alias("w")).where(F.size("w") > 0)
     a, b = sets(left, left_id), sets(right, right_id)
-    rarity = a.union(b).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rarity = a.union(b).select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        flat = df.select("id", F.size("w").alias("size"), F.explode("w").alias("word")).join(rarity, "word")
+        flat = df.select("id", F.size("w").alias("size"), F.explode_outer("w").alias("word")).join(rarity, "word")
         order = F.row_number().over(Window.partitionBy("id").orderBy("n", "word"))
         kept = flat.withColumn("place", order).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1)
         return kept.select("word", F.col("id").alias(name), F.col("size").alias(f"{name}_size"))

@@ -32,7 +32,7 @@ def lexical_terms(text: Column) -> Column:
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf, length."""
     rows = docs.select(F.col(id_col).alias("id"), lexical_terms(F.col(text_col)).alias("terms"))
-    flat = rows.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    flat = rows.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")  # terms are computed once
     return flat.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -58,7 +58,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item
 def shared_words(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
     """query, id, score, rank by the summed weight of the words that both have."""
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(t.tokens(F.col("text"))).alias("word"))
-    said = docs.select(F.col(doc_id).alias("id"), F.explode(t.tokens(F.col("text"))).alias("word")).join(wanted.select("word").distinct(), "word")
+    said = docs.select(F.col(doc_id).alias("id"), F.explode_outer(t.tokens(F.col("text"))).alias("word")).join(wanted.select("word").distinct(), "word")
     n = docs.select(F.count("*").cast("double").alias("n"))
     df = said.groupBy("word").agg(F.count("*").cast("double").alias("df")).crossJoin(F.broadcast(n))
     hits = said.join(df, "word").join(wanted, "word").groupBy("query", "id").agg(F.round(F.sum(s.query_idf(F.col("n"), F.col("df"))), 6).alias("score"))
