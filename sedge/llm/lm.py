@@ -5,8 +5,8 @@ of the context: the longest one that was seen, and the logarithm of its count. T
 counts of a held-out part of the training documents (fold HELD of 10), under the estimates of the other training
 documents; scores then use the counts of all of them.
 
-Data flow. Documents are dealt to blocks. A block sends its distinct n-grams, as sorted 56-bit hashes (64 bits for words)
-with counts, cut by ranges of the hash; a range's task sums the counts of all blocks and answers each block in the order
+Data flow. Documents are dealt to blocks. A block sends its distinct n-grams, as sorted hashes (64 bits for
+words, 48 or more by the input's size for longer ones) with counts, cut by ranges of the hash; a range's task sums the counts of all blocks and answers each block in the order
 of its own list, so answers need no keys. A block's n-grams are found again from its documents. So what is
 shuffled follows the distinct n-grams of blocks, a frequent word costs no more than a rare one, and no table of counts is ever in one place.
 
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, as_bytes, find_words, input_bytes, mix
 
-ORDER = 2
+ORDER = 3
 #: Fold (of 10) of the training documents on which weights are learnt; fold 0 is not trained on.
 HELD = 9
 #: MB of input for a block of documents, and for a range of hashes.
-BLOCK_MB, RANGE_MB = 4, 4
+BLOCK_MB, RANGE_MB = 2, 1.5
 #: Rounds of expectation-maximisation at most, and the gain in log10 probability per token at which they end.
 ROUNDS, GAIN = 12, 1e-5
 _U = np.uint64
@@ -52,7 +52,7 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
 class Block:
     """N-grams of a block of texts: for each order k its sorted distinct hashes, and where each token's one is."""
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, texts: pa.Array, order: int, bits: int = 64):
         raw, bounds = as_bytes(texts)
         raw = _LOWER[raw]
         starts, ends, counts = find_words(raw, bounds)
@@ -68,7 +68,7 @@ class Block:
         for k in range(1, order + 1):
             if k > 1:
                 # As many tokens before as the document has; those with fewer than k - 1 are no n-grams of this order.
-                gram = np.append(gram[:1], mix(gram[:-1] * _U(0xBF58476D1CE4E5B9) + tokens[1:])) >> _U(8)
+                gram = np.append(gram[:1], mix(gram[:-1] * _U(0xBF58476D1CE4E5B9) + tokens[1:])) >> _U(64 - bits)
             valid = self.place >= k - 1
             found, inverse = np.unique(gram[valid], return_inverse=True)
             where = np.full(len(tokens), -1, np.int64)
@@ -113,8 +113,9 @@ def _cuts(hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.searchsorted(hashes, np.array([(r << bits) // ranges for r in range(1, ranges)], _U)) if ranges > 1 else np.zeros(0, np.int64)
 
 
-def _bits(k: int) -> int:
-    return 64 if k == 0 else 56
+def hash_bits(size: int) -> int:
+    """Bits of the hash of a longer n-gram: enough that about one n-gram in a million of such an input meets another."""
+    return min(64, max(48, 19 + max(1, size).bit_length())) if size else 64
 
 
 def _answers(found: list[tuple[int, list[np.ndarray]]], order: int) -> tuple[list[tuple[int, bytes]], int, int, int, int]:
@@ -193,7 +194,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     size = min(input_bytes(docs), 1 << 60) if input_bytes(docs) < 1 << 60 else 0
     blocks, ranges = max(2, int(size / (BLOCK_MB * 1e6))), max(2, int(size / (RANGE_MB * 1e6)))
-    apart = max(1, blocks // 9)
+    apart, bits = max(1, blocks // 9), hash_bits(size)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), fold(F.col(id_col)).cast("int").alias("fold"))
     spread = F.xxhash64("id", "text")
     rows = rows.withColumn("block", F.when(F.col("fold") == HELD, blocks + F.pmod(spread, F.lit(apart))).otherwise(F.pmod(spread, F.lit(blocks))).cast("int"))
@@ -206,10 +207,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         while held:
             b, blobs = held.popitem()
             t = unpacked(blobs)
-            own, f = Block(t.column("text"), order), t.column("fold").to_numpy()
+            own, f = Block(t.column("text"), order, bits), t.column("fold").to_numpy()
             columns = []
             for k in range(order):
-                at = _cuts(own.hashes[k], ranges, _bits(k))
+                at = _cuts(own.hashes[k], ranges, 64 if k == 0 else bits)
                 main, aside = own.counts(k, (f != 0) & (f != HELD)), own.counts(k, f == HELD)
                 columns.append([np.split(x, at) for x in (own.hashes[k], main, aside)])
             for r in range(ranges):
@@ -250,7 +251,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     scratch.settle()
 
     def tuples(key, blobs: pa.Table, got: pa.Table) -> pa.Table:
-        own = Block(unpacked(blobs.column("blob").to_pylist()).column("text"), order)
+        own = Block(unpacked(blobs.column("blob").to_pylist()).column("text"), order, bits)
         model = Model(own, list(zip(got.column("part").to_pylist(), got.column("blob").to_pylist())), order, True, facts.main_kinds, facts.main_tokens)
         rows = np.column_stack([model.bucket, *model.estimates[1:]])[model.real]
         kinds, n = np.unique(rows, axis=0, return_counts=True)
@@ -264,7 +265,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def scores(key, blobs: pa.Table, got: pa.Table) -> pa.Table:
         texts = unpacked(blobs.column("blob").to_pylist())
-        own = Block(texts.column("text"), order)
+        own = Block(texts.column("text"), order, bits)
         model = Model(own, list(zip(got.column("part").to_pylist(), got.column("blob").to_pylist())), order, False, facts.kinds, facts.tokens)
         lead = own.at[:-1]
         total = lambda x: np.add.reduceat(np.where(model.real, x, 0), lead) if len(lead) else np.zeros(0)
