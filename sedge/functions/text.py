@@ -170,7 +170,10 @@ def _among(values: list[str]):
 def latin_language(text: Column, sample: int = 200) -> Column:
     """The language of a Latin text by marker letters (2) and function words of one language (1 each), English first among equals."""
     low = F.lower(text)
-    found = F.slice(F.regexp_extract_all(low, F.lit(r"(?U)([^\W\d_]+(?:'[^\W\d_]+)?)"), 1), 1, sample)
+    words_of = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)([^\W\d_]+(?:'[^\W\d_]+)?)"), 1)
+    head = 20 * sample  # the first words are nearly always in so many characters; only then is the rest not read
+    enough = lambda h: F.when((F.size(h) > sample) | (F.length(low) <= head), h).otherwise(words_of(low))
+    found = F.slice(F.get(F.transform(F.array(words_of(F.substring(low, 1, head))), enough), F.lit(0)), 1, sample)
     votes = []
     for i, (lang, own) in enumerate(disjoint_function_words().items()):
         n = F.size(F.filter(found, _among(own)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedge.functions import nested, vectors
-from sedge.operators import context, extraction, memory, procedures
+from sedge.operators import context, extraction, memory, procedures, statements
 from sedge.plans.events import calls
 from sedge.plans.sql import frame
 
@@ -30,7 +30,43 @@ def _procedures(events):
     return procedures.with_status(procedures.mine(rows, outcome), none, F.lit("2024-02-15").cast("date")).select("pattern", "path", "support", "runs", "rate", "status")
 
 
+def _beliefs(events):
+    sources = events.select(F.concat_ws(":", "user_id", "event_type").alias("belief"), F.col("event_id").alias("id"))
+    memories = events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 == 0, "SUPERSEDED").when(F.col("event_id") % 11 == 0, "FORGOTTEN").otherwise("CURRENT").alias("status"))
+    return statements.belief_state(sources.select("belief").distinct(), sources, memories)
+
+
+def _plan(events):
+    side = lambda odd: events.where(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").alias("person"), F.col("event_type").alias("key")).agg((F.count("*") % 3).cast("string").alias("text"))
+    return statements.belief_plan(side(0), side(1)).select("person", "key", "action")
+
+
+def _chats(turns):
+    person = F.col("conv_id") % 5
+    said = turns.select(person.alias("person"), F.col("conv_id").alias("thread"), F.col("turn").alias("at"), "role", "text")
+    asked = turns.where("turn = 0").select(F.col("conv_id").alias("query"), person.alias("person"), "text")
+    return statements.earlier_chats(said, asked)
+
+
+def _subjects(part):
+    named = part.select("p_partkey", F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("a"), F.concat(F.lit("the part #"), (F.col("p_partkey") + F.col("p_partkey") % 3).cast("string")).alias("b"))
+    return named.groupBy((F.col("p_partkey") % 3).alias("shift"), statements.same_subject(F.col("a"), F.col("b")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
 PLANS = {
+    "belief_state": frame("events", _beliefs, "WITH s AS (SELECT user_id || ':' || event_type AS belief, CASE WHEN event_id % 7 = 0 THEN 'S' WHEN event_id % 11 = 0 THEN 'F' ELSE 'C' END AS st FROM events) SELECT belief, CASE WHEN count(*) FILTER (st <> 'F') = 0 THEN 'deleted' WHEN count(*) FILTER (st = 'C') < count(*) THEN 'stale' ELSE 'current' END AS state FROM s GROUP BY 1"),
+    "belief_plan": frame("events", _plan, "WITH a AS (SELECT user_id AS person, event_type AS key, count(*) % 3 AS t FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id AS person, event_type AS key, count(*) % 3 AS t FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) SELECT person, key, CASE WHEN a.t IS NULL THEN 'add' WHEN b.t IS NULL THEN 'retire' WHEN a.t = b.t THEN 'keep' ELSE 'update' END AS action FROM a FULL JOIN b USING (person, key)"),
+    "earlier_chats": frame(
+        "conversations",
+        _chats,
+        r"""WITH w AS (SELECT conv_id % 5 AS person, conv_id, turn, role, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1))) AS word FROM conversations), n AS (SELECT conv_id % 5 AS person, count(*)::DOUBLE AS n FROM conversations GROUP BY 1),
+        df AS (SELECT person, word, ln(1 + (n + 1) / (1 + count(*)::DOUBLE)) AS w FROM w JOIN n USING (person) GROUP BY person, word, n), q AS (SELECT conv_id AS query, person, word FROM w WHERE turn = 0),
+        h AS (SELECT query, conv_id AS thread, turn AS at_, round(sum(df.w), 6) AS weight FROM q JOIN w ON q.person = w.person AND q.word = w.word JOIN df ON df.person = w.person AND df.word = w.word WHERE role = 'assistant' GROUP BY 1, 2, 3)
+        SELECT query, thread, at_ AS "at", weight FROM (SELECT *, max(weight) OVER (PARTITION BY query) AS b FROM h) WHERE weight >= 0.5 * b""",
+    ),
+    "replay_layers": frame("conversations", lambda c: statements.replay_layers(c, 1, 2).groupBy("conv_id", "layer").agg(F.count("*").alias("n")), "WITH u AS (SELECT conv_id, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS unit FROM conversations), b AS (SELECT conv_id, max(unit) OVER (PARTITION BY conv_id) - unit AS back FROM u) SELECT conv_id, CASE WHEN back < 1 THEN 'whole' WHEN back < 3 THEN 'text' ELSE 'steps' END AS layer, count(*) AS n FROM b GROUP BY 1, 2"),
+    "subject_pairs": frame("part", _subjects, "SELECT p_partkey % 3 AS shift, CASE WHEN p_partkey % 3 = 0 THEN 'SAME' ELSE 'DIFFERENT' END AS verdict, count(*) AS n FROM part GROUP BY 1, 2"),
+    "query_periods": frame("events", lambda e: statements.periods(e.select("event_id", F.concat(F.lit("what of "), F.date_format("ts", "MMMM yyyy")).alias("q")), "event_id", "q", F.col("event_id").cast("timestamp").cast("date")).groupBy("first", "last").agg(F.count("*").alias("n")), "SELECT strftime(date_trunc('month', ts), '%Y-%m-%d') AS first, strftime(last_day(ts), '%Y-%m-%d') AS last, count(*) AS n FROM events GROUP BY 1, 2"),
     "turn_facts": frame("conversations", _facts),
     "consolidation": frame("documents", _consolidated),
     "procedures_mined": frame("events", _procedures),
