@@ -43,9 +43,13 @@ def pinned(sections: DataFrame, budget: int, share: float = 0.5, order: tuple[st
 
 
 def standing(rules: DataFrame, tasks: DataFrame, least: int = 1) -> DataFrame:
-    """task, rule, shared: rules that apply to a task, as they share words with it or hold for all. rules: rule, text, always; tasks: task, text."""
-    by_word = rules.select("rule", F.explode(t.tokens(F.col("text"))).alias("word")).join(tasks.select("task", F.explode(t.tokens(F.col("text"))).alias("word")), "word").groupBy("task", "rule").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    general = tasks.select("task").crossJoin(F.broadcast(rules.where("always").select("rule").limit(100))).withColumn("shared", F.lit(0).cast("long"))  # a profile's general rules: a bounded few
+    """task, rule, shared: a person's rules that apply to a task of theirs, as both share words or the rule always holds.
+
+    rules: rule, person, text, always; tasks: task, person, text.
+    """
+    words = lambda df, key: df.select(key, "person", F.explode_outer(t.tokens(F.col("text"))).alias("word"))
+    by_word = words(rules, "rule").where("word is not null").join(words(tasks, "task"), ["person", "word"]).groupBy("task", "rule").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    general = tasks.select("task", "person").join(rules.where("always").select("rule", "person"), "person").select("task", "rule", F.lit(0).cast("long").alias("shared"))
     return by_word.union(general.join(by_word.select("task", "rule"), ["task", "rule"], "left_anti"))
 
 

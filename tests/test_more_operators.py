@@ -167,8 +167,8 @@ def test_files(spark, tmp_path):
 
 
 def test_standing_rules(spark):
-    rules = spark.createDataFrame([(1, "Never ship bolts on Friday", False), (2, "Be brief", True), (3, "Paint is toxic", False)], "rule int, text string, always boolean")
-    tasks = spark.createDataFrame([(7, "ship the bolts")], "task int, text string")
+    rules = spark.createDataFrame([(1, "u", "Never ship bolts on Friday", False), (2, "u", "Be brief", True), (3, "u", "Paint is toxic", False), (4, "v", "Be loud", True)], "rule int, person string, text string, always boolean")
+    tasks = spark.createDataFrame([(7, "u", "ship the bolts")], "task int, person string, text string")
     assert {r.rule for r in context.standing(rules, tasks).collect()} == {1, 2}
 
 
