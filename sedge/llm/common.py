@@ -77,10 +77,14 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, mb: float) -> int:
-    """A number of partitions of about so many MB each, but no fewer than the session's shuffle partitions."""
+#: Tasks of one job at most: the driver keeps something for each of them.
+MOST_TASKS = 100_000
+
+
+def parts_for(df: DataFrame, mb: float, most: int = MOST_TASKS) -> int:
+    """A number of partitions of about so many MB each, no fewer than the session's shuffle partitions; larger ones beyond `most`."""
     least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
-    return least if size >= 1 << 60 else int(max(least, size / (mb * 1e6)))  # rows that come from no file have no size
+    return least if size >= 1 << 60 else int(max(least, min(most, size / (mb * 1e6))))  # rows that come from no file have no size
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,8 +29,9 @@ from .common import Rolling, Scratch, as_bytes, find_words, input_bytes, mix
 ORDER = 3
 #: Fold (of 10) of the training documents on which weights are learnt; fold 0 is not trained on.
 HELD = 9
-#: MB of input for a block of documents, and for a range of hashes.
-BLOCK_MB, RANGE_MB = 2, 1.5
+#: MB of input for a block of documents: at least and at most. In between it grows as the root of the input, so that a block's
+#: message to a range stays worth a row (MESSAGE bytes of input or so) as both become more. A range has RANGE as much as a block.
+BLOCK_MB, BLOCK_MB_MOST, MESSAGE, RANGE = 2, 64, 4096, 0.75
 #: Rounds of expectation-maximisation at most, and the gain in log10 probability per token at which they end.
 ROUNDS, GAIN = 12, 1e-5
 _U = np.uint64
@@ -193,7 +194,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     size = min(input_bytes(docs), 1 << 60) if input_bytes(docs) < 1 << 60 else 0
-    blocks, ranges = max(2, int(size / (BLOCK_MB * 1e6))), max(2, int(size / (RANGE_MB * 1e6)))
+    block = min(BLOCK_MB_MOST * 1e6, max(BLOCK_MB * 1e6, (MESSAGE * size) ** 0.5))
+    blocks, ranges = max(2, int(size / block)), max(2, int(size / (RANGE * block)))
     apart, bits = max(1, blocks // 9), hash_bits(size)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), fold(F.col(id_col)).cast("int").alias("fold"))
     spread = F.xxhash64("id", "text")

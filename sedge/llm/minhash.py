@@ -29,6 +29,8 @@ BINS, BITS = 256, 8
 TRIES = 8
 #: MB of input for a range of ids; several ranges go to a task, so that tasks come out even.
 RANGE_MB = 2
+#: Ranges at most, as their cuts are part of the plan; beyond, a range is larger and its sort spills.
+MOST_RANGES = 50_000
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 _LANES = 64 // BITS
 
@@ -148,7 +150,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("key"), fingerprint(F.col("text")).alias("packed"))
-    pairs = with_next(rows, parts_for(docs, RANGE_MB), "key", ["key", "text"], ["text", "packed"])
+    pairs = with_next(rows, parts_for(docs, RANGE_MB, MOST_RANGES), "key", ["key", "text"], ["text", "packed"])
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half))
