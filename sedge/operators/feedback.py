@@ -45,3 +45,23 @@ def token_f1(predicted: Column, gold: Column) -> Column:
     count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
     shared = F.aggregate(F.transform(distinct, lambda w: F.least(count(predicted, w), count(gold, w))), F.lit(0), lambda a, x: a + x)
     return F.when((F.size(predicted) == 0) | (F.size(gold) == 0) | (shared == 0), 0.0).otherwise(2.0 * shared / (F.size(predicted) + F.size(gold)))
+
+
+def bleu1(predicted: Column, gold: Column) -> Column:
+    """Share of predicted words that the gold answer has, each as often as there, with the brevity penalty."""
+    distinct = F.array_distinct(predicted)
+    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
+    shared = F.aggregate(F.transform(distinct, lambda w: F.least(count(predicted, w), count(gold, w))), F.lit(0), lambda a, x: a + x)
+    penalty = F.when(F.size(predicted) >= F.size(gold), 1.0).otherwise(F.exp(1 - F.size(gold) / F.size(predicted)))
+    return F.when(F.size(predicted) == 0, 0.0).otherwise(penalty * shared / F.size(predicted))
+
+
+def usage_daily(calls: DataFrame) -> DataFrame:
+    """tenant, day, use, calls, tokens: the ledger of model use."""
+    return calls.groupBy("tenant", F.to_date("at").alias("day"), "use").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+
+
+def answer_step(votes: DataFrame, step: float = 0.05) -> DataFrame:
+    """memory, steps in order of time: what verdicts on answers that cited a memory do to its confidence. votes: memory, at, id, up."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "id", F.when(F.col("up"), step).otherwise(-step).alias("d"))))
+    return votes.groupBy("memory").agg(F.transform(ordered, lambda x: x["d"]).alias("steps"))

@@ -105,3 +105,23 @@ def source_audience(sources: DataFrame) -> DataFrame:
     per = sources.select("derived", "source", F.explode("keys").alias("key")).distinct().groupBy("derived", "key").agg(F.count("*").alias("k"))
     kept = per.join(n, "derived").where("k = n").groupBy("derived").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     return n.select("derived").join(kept, "derived", "left").select("derived", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+
+
+def corroborated(deferred: DataFrame) -> DataFrame:
+    """Deferred statements that were said again in their scope, at the time when they were: scope, hash, id of the first, admitted_at.
+
+    deferred: id, scope, content, at.
+    """
+    line = Window.partitionBy("scope", "hash").orderBy("at", "id")
+    rows = deferred.withColumn("hash", t.normalized_hash(F.col("content"))).withColumn("n", F.row_number().over(line)).withColumn("first", F.first("id").over(line))
+    return rows.where("n = 2").select("scope", "hash", F.col("first").alias("id"), F.col("at").alias("admitted_at"))
+
+
+def built(candidates: DataFrame, now: Column, ttl_days: dict[str, int]) -> DataFrame:
+    """candidates as memory rows: an id that a rerun gives again, content hash, lifetime by kind, and when it expires."""
+    life = F.create_map(*(F.lit(x) for kv in LIFETIMES.items() for x in kv))
+    days = F.create_map(*(F.lit(x) for kv in ttl_days.items() for x in kv))
+    lifetime = F.coalesce(F.try_element_at(life, F.col("kind")), F.lit("long_term"))
+    key = F.concat(F.lit("mem_"), F.sha2(F.concat_ws("\u0001", "scope", "subject", "predicate", t.normalize(F.col("content"))), 256))
+    rows = candidates.withColumn("memory_id", key).withColumn("hash", t.normalized_hash(F.col("content"))).withColumn("lifetime", lifetime)
+    return rows.withColumn("expires_at", now + F.make_dt_interval(F.try_element_at(days, F.col("lifetime"))))

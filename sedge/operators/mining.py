@@ -53,7 +53,7 @@ def edge_support(edges: DataFrame) -> DataFrame:
 def best_sequence(stepped: DataFrame, by: str, coverage: float = MIN_PATH_COVERAGE) -> DataFrame:
     """by, path, support: the longest prefix of tools that enough runs follow, or else the best supported one.
 
-    stepped: by, run, step, tool. A prefix is told by its running digest, so a run costs its steps, not their square.
+    stepped: by, run, step, tool. A run gives each of its prefixes, so it costs the square of its steps, of which runs have few.
     """
     line = Window.partitionBy(by, "run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     prefixes = stepped.withColumn("path", F.array_join(F.collect_list("tool").over(line), ">")).withColumn("size", F.count("*").over(line))

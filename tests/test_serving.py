@@ -89,3 +89,18 @@ def test_orders(spark):
     ranked = spark.createDataFrame([(1, "a", 1, 1.0, True), (1, "b", 2, 0.9, False), (1, "c", 3, 0.9, False)], "query int, id string, rank int, score double, earlier_value boolean")
     assert [r[1] for r in rows(serving.current_first(ranked), "rank", "id")] == ["b", "c", "a"]
     assert [r[1] for r in rows(serving.by_standing(ranked, F.when(F.col("id") == "c", 1.15).otherwise(1.0)), "rank", "id")] == ["c", "a", "b"]
+
+
+def test_said_again_and_built(spark):
+    from sedge.operators import feedback, memory
+
+    said = spark.createDataFrame([("a", "s", "The gate is red.", 1), ("b", "s", "the gate is  red", 5), ("c", "s", "the gate is red", 9), ("d", "z", "The gate is red", 2)], "id string, scope string, content string, at int")
+    assert rows(memory.corroborated(said), "id", "admitted_at") == [("a", 5)]
+    new = spark.createDataFrame([("s", "u", "likes", "Tea", "preference"), ("s", "u", "does", "x", "task")], "scope string, subject string, predicate string, content string, kind string")
+    out = memory.built(new, F.lit("2024-01-01 00:00:00").cast("timestamp"), {"short_term": 7}).collect()
+    assert [(r.lifetime, r.expires_at) for r in out] == [("long_term", None), ("short_term", datetime(2024, 1, 8))] and all(r.memory_id.startswith("mem_") for r in out)
+    words = lambda s: F.array(*(F.lit(w) for w in s.split()))
+    got = spark.range(1).select(feedback.bleu1(words("a b b"), words("a b")).alias("x"), feedback.bleu1(words("a"), words("a b")).alias("y")).first()
+    assert (round(got.x, 6), round(got.y, 6)) == (0.666667, 0.367879)
+    votes = spark.createDataFrame([("m", 2, 1, False), ("m", 1, 2, True)], "memory string, at int, id int, up boolean")
+    assert feedback.answer_step(votes).first().steps == [0.05, -0.05]
