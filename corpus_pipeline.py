@@ -13,8 +13,8 @@ from sedge.llm import bpe, decontaminate, langid, simhash, substring_dedup
 from sedge.llm.common import Scratch
 from sedge.sources.tables import table
 
-#: Language ID rejects documents without letters and those whose language is less probable than this.
-LANGUAGE_SCORE = 0.5
+#: Language ID rejects documents without letters and those of which no language is this probable (short ones in words that several share stay).
+LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
