@@ -46,8 +46,9 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path(self.root))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back with its own schema (so that an empty one reads too)."""
+    def table(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write df and read it back with its own schema (so that an empty one reads too), in so many files at most."""
+        df = df if files is None else df.coalesce(max(1, files))
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

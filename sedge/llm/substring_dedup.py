@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import Scratch, find_words, mix, parts_for, slices, whole_rows
+from .common import MOST_TASKS, Scratch, find_words, input_bytes, mix, slices, whole_rows
 
 #: Words of a window; places of which the least is an anchor, and words hashed at each.
 WINDOW, WIDTH, GRAM = 20, 15, 6
 #: Batches that the whole-table query feeds to the index, in order of ids.
 BATCHES = 4
 #: MB of input for each bucket of a run.
-BUCKET_MB = 24
+BUCKET_MB = 16
 _COLUMNS = ["key", "ctx", "id", "salt", "start", "n", "kind"]
 _SCHEMA = "key long, ctx long, id long, salt long, start long, n long, kind int"
 FIRST, LATER = 0, 1
@@ -108,6 +108,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
         self.spark, self.scratch, self.buckets = spark, scratch, buckets
+        self.files = -(-buckets // 4)  # what joins find is small beside the runs: four buckets share a file
         self.name, self.made = f"sedge_run_{uuid.uuid4().hex[:12]}", 0
         self.runs: list[tuple[str, int]] = []  # table, batches in it
         self.spans: list[DataFrame] = []
@@ -123,7 +124,7 @@ class FingerprintIndex:
         return self.spark.table(name).where(F.col("kind") == FIRST)
 
     def _edges(self, found: DataFrame) -> None:
-        self.edges.append(self.scratch.table(found.select("key", "id", "salt", "start", "n"), f"edges-{len(self.edges)}"))
+        self.edges.append(self.scratch.table(found.select("key", "id", "salt", "start", "n"), f"edges-{len(self.edges)}", self.files))
 
     def add(self, anchors: DataFrame) -> None:
         order = ["key", "ctx", "id", "salt", "start"]
@@ -132,12 +133,12 @@ class FingerprintIndex:
         with _bucket_joins(self.spark):
             name = self._write(run)
             new = self._firsts(name)
-            self.spans.append(self.scratch.table(self.spark.table(name).where(F.col("kind") == LATER).select(*place), f"later-{name}"))
+            self.spans.append(self.scratch.table(self.spark.table(name).where(F.col("kind") == LATER).select(*place), f"later-{name}", self.files))
             often = new.groupBy("key").count().where("count > 1").select("key")
             self._edges(new.join(often.hint("merge"), "key", "left_semi"))
             for old, _ in self.runs:  # each join is a job of its own, so that one pair of sorted runs is in memory at a time
                 was = self._firsts(old)
-                self.spans.append(self.scratch.table(new.join(was.select("key", "ctx").hint("merge"), ["key", "ctx"], "left_semi").select(*place), f"met-{name}-{old}"))
+                self.spans.append(self.scratch.table(new.join(was.select("key", "ctx").hint("merge"), ["key", "ctx"], "left_semi").select(*place), f"met-{name}-{old}", self.files))
                 self._edges(new.join(was.select("key").hint("merge"), "key", "left_semi"))
                 self._edges(was.join(new.select("key").hint("merge"), "key", "left_semi"))
             self.runs.append((name, 1))
@@ -169,6 +170,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets of a run: by the input alone, as every one is a file of each run."""
+    size = input_bytes(docs)
+    return 8 if size >= 1 << 60 else int(max(6, min(MOST_TASKS, size / (BUCKET_MB * 1e6))))
+
+
 def repeated_spans(rows: DataFrame, scratch: Scratch, buckets: int, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """id, salt, start, n: runs of word windows that also start earlier. rows: id, salt, text of repeats.keyed()."""
     spark = rows.sparkSession
@@ -195,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """id_col, n_words, n_removed, kept (the words that are left, joined by one space)."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    spans = repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches)
+    spans = repeated_spans(rows, scratch, buckets_for(docs), window, batches)
     return cut_words(repeats.with_spans(rows, spans, window)).withColumnRenamed("id", id_col)
 
 
@@ -234,7 +241,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     """docs, all their columns, without the repeated words; a row with none stays as it is, one with no other words goes."""
     scratch = Scratch(docs.sparkSession, "substring")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    spans = repeated_spans(rows, scratch, parts_for(docs, BUCKET_MB), window, batches)
+    spans = repeated_spans(rows, scratch, buckets_for(docs), window, batches)
     cut = cut_words(repeats.with_spans(rows, spans, window, ("rest",)), as_they_are=True)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return whole_rows(left, docs.columns, text_col, F.col("kept"))
