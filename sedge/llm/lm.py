@@ -3,7 +3,8 @@
 Method. Maximum-likelihood estimates of the orders 1 to ORDER and a uniform one are mixed. The weights depend on the bucket
 of the context: the longest one that was seen, and the logarithm of its count. They are learnt by expectation-maximisation on
 counts of a held-out part of the training documents (fold HELD of 10), under the estimates of the other training
-documents; scores then use the counts of all of them.
+documents; scores then use the counts of all of them. Under these a bucket can occur that no held-out token had; with
+`nearest`, as in the query, it takes the weights of the nearest learnt bucket of its order, or of a lower order where its own has none.
 
 Data flow. Documents are dealt to blocks. A block sends its distinct n-grams, as sorted hashes (64 bits for
 words, 48 or more by the input's size for longer ones) with counts, cut by ranges of the hash; a range's task sums the counts of all blocks and answers each block in the order
@@ -179,19 +180,31 @@ class Model:
             self.bucket[seen] = 64 * k + np.log2(context[seen]).astype(np.int64)
         self.real = real
 
-    def log10(self, weights: dict[int, list[float]], fallback: list[float]) -> np.ndarray:
+    def log10(self, weights: dict[int, list[float]], fallback: list[float], nearest: bool) -> np.ndarray:
         buckets, inverse = np.unique(self.bucket, return_inverse=True)
-        table = np.array([weights.get(int(b), fallback) for b in buckets])
+        table = np.array([weights_of(int(b), weights, fallback) if nearest else weights.get(int(b), fallback) for b in buckets])
         p = sum(table[inverse, k] * e for k, e in enumerate(self.estimates))
         return np.log10(p)
 
 
+def weights_of(bucket: int, weights: dict[int, list[float]], fallback: list[float]) -> list[float]:
+    """A bucket's weights; of one that is not learnt, those of the nearest learnt count (the smaller of two) of its order, else of a lower order."""
+    for order in range(bucket // 64, 0, -1):
+        learnt = [b for b in weights if b // 64 == order]
+        if learnt:
+            return weights[min(learnt, key=lambda b: (abs(b % 64 - bucket % 64), b))]
+    return weights.get(0, fallback)
+
+
 def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 10
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, nearest: bool = False) -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    nearest: a bucket that is not learnt takes the weights of the nearest one (the query does so); else those of unseen contexts.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     size = min(input_bytes(docs), 1 << 60) if input_bytes(docs) < 1 << 60 else 0
     block = min(BLOCK_MB_MOST * 1e6, max(BLOCK_MB * 1e6, (MESSAGE * size) ** 0.5))
@@ -273,7 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         total = lambda x: np.add.reduceat(np.where(model.real, x, 0), lead) if len(lead) else np.zeros(0)
         count = model.counts[0]
         base = np.log10((count + 0.1) / (facts.tokens + 0.1 * (facts.kinds + 1)))
-        return pa.table({"id": texts.column("id"), "fold": texts.column("fold"), "n_tokens": pa.array(own.sizes - 1), "n_known": pa.array(total(count > 0).astype(np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(model.log10(weights, fallback)))})
+        return pa.table({"id": texts.column("id"), "fold": texts.column("fold"), "n_tokens": pa.array(own.sizes - 1), "n_known": pa.array(total(count > 0).astype(np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(model.log10(weights, fallback, nearest)))})
 
     both = packed(rows).groupBy("block").cogroup(given.groupBy("block"))
     out = both.applyInArrow(scores, "id long, fold int, n_tokens long, n_known long, base_score double, score double")

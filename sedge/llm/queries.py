@@ -21,7 +21,7 @@ def query(run):
 
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), nearest=True)
 
 
 @query
