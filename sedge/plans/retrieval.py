@@ -57,12 +57,24 @@ def _message_idf(turns):
 
 
 def _alike(docs):
-    """Pairs between representatives of equal word sets; dedup_normalised has the copies."""
+    """Pairs between representatives of equal word sets; jaccard_classes says which documents each one stands for."""
     words = docs.select("doc_id", "text", F.array_sort(t.tokens(F.col("text"))).alias("w"))
     one = words.groupBy("w").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.*")
     return dedup.likeness_pairs(one, one, 0.8, "doc_id", "doc_id").where("a < b")
 
 
+def _word_sets(docs):
+    """id, kept: each document with the least id of those whose word set is equal, one without words with its own.
+
+    All pairs of documents are those of jaccard_pairs over the members of both sides, and at 1.0 those inside a class.
+    """
+    words = t.tokens(F.col("text"))
+    alone = F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.when(F.size(words) > 0, F.sha2(F.array_join(F.array_sort(words), " "), 256)).otherwise(alone)
+    # dealt by the key before it is used twice, so that texts are read once
+    return dedup.marked(docs.select("doc_id", key.alias("set")).repartition(F.col("set")), F.col("set"), "doc_id")
+
+
 def _sized(docs):
     return docs.select("doc_id", "source", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), F.asc("doc_id"))).alias("rank"), "lang")
 
@@ -105,6 +117,11 @@ PLANS = {
         p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS k FROM f a JOIN f b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2)
         SELECT a, b, round(k / (x + y - k)::DOUBLE, 6) AS jaccard FROM p WHERE round(k / (x + y - k)::DOUBLE, 6) >= 0.8""",
     ),
+    "jaccard_classes": frame(
+        "documents",
+        _word_sets,
+        f"WITH s AS (SELECT doc_id AS id, list_sort({_DUCK_TOKENS}) AS w FROM documents) SELECT id, CASE WHEN len(w) > 0 THEN min(id) OVER (PARTITION BY w) ELSE id END AS kept FROM s",
+    ),
     "dedup_containment": frame(
         "benchmark documents",
         lambda b, d: dedup.contained(b, d, "item_id", "doc_id"),
