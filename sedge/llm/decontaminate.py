@@ -12,7 +12,7 @@ An item with fewer than SEED words has one seed, all its words.
 
 Rows. Null and empty texts have no words and match nothing, nor do items without words. Repeated rows of documents each
 get a row; items that repeat an id are items of their own and the best coverage counts. Null ids stay null; items with
-a null id are left out, as there is nothing to report. Columns that the inputs have besides are left out. No documents
+a null id contaminate as others do and count for the coverage, only the list of items can't name them. Columns that the inputs have besides are left out. No documents
 in, no rows out; with no items no document is contaminated.
 """
 
@@ -123,7 +123,7 @@ def tilings(docs: DataFrame, items: DataFrame, scratch: Scratch, doc_id: str = "
             own = pa.array([h.view(np.int64).tolist() for h in hashes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, _U), *found]).view(np.int64)), pa.array([len(hashes[r]) for r in rows], pa.int32()), own.take(pa.array(rows))], ["iid", "item", "seed", "size", "words"])
 
-    rows = items.select(F.monotonically_increasing_id().alias("iid"), F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
+    rows = items.select(F.monotonically_increasing_id().alias("iid"), F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     seeds = scratch.table(rows.mapInArrow(item_seeds, "iid long, item long, seed long, size int, words array<long>"), "seeds")
     short = sorted(r.size for r in seeds.where(F.col("size") < seed).select("size").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
