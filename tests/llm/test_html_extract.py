@@ -57,3 +57,90 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, "", "", 0), (1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, "v", "", 0)]
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article>%s</article>',
+        '<body><div class="post no-comments">%s</div>',
+        '<body><main class="search-open">%s</main>',
+        '<article><div class="promo-free">%s</div></article>',
+        '<body><div class="sidebar-layout"><article>%s</article><div class="sidebar"><p>Other things to read, many of them.</p></div></div>',
+        '<article>%s</article><section class="comments">' + "<p>I have read this all and do not agree with a word of it.</p>" * 40 + "</section>",
+        '<article>%s<section id="comments"><article class="comment"><p>I have read this, all of it, and disagree.</p></article></section></article>',
+    ],
+)
+def test_names_of_state_and_of_wrappers_do_not_empty_a_page(page):
+    assert h.main_text(page % BODY) == TEXT
+
+
+def test_math_and_hidden_text_stay():
+    assert h.main_text(f"<article>{BODY}<math>x</math></article>") == TEXT + " x"
+    assert h.main_text(f"<article>{BODY}<p hidden>Not shown.</p></article>") == TEXT + " Not shown."
+
+
+def test_the_cut_decides_against_the_costs_of_blocks():
+    page = f'<body><article>{BODY}<p>Ok</p></article><div class="ad">Buy this thing now, it is the best thing of all that you can buy today.</div>'
+    found = h.blocks(page)
+    kept = h.label(found)
+    alone = [h.own_cost(b) > 0 for b in found]
+    assert [b[0] for b, k, a in zip(found, kept, alone) if k and not a][-1] == "Ok"
+    assert [b[0][:3] for b, k, a in zip(found, kept, alone) if a and not k] == ["Buy"]
+
+
+def whole_graph(found, weights=h.PRIOR):
+    """Costs and edges of a page's graph, built anew from what the docstring says."""
+    nodes, costs, edges = {}, [h.own_cost(b, weights) for b in found], []
+    total = sum(len(b[0]) for b in found)
+    under = lambda e: [b for b in found if e in list(up(b[1]))]
+
+    def up(node):
+        while node:
+            yield node
+            node = node.parent
+
+    for b in found:
+        for e in up(b[1]):
+            if e not in nodes:
+                nodes[e] = len(costs)
+                below = under(e)
+                much = e.by_class and sum(len(x[0]) for x in below) > h.MOST * total
+                costs.append(e.lean * len(below) * (h.LESS if much else 1))
+    for e, i in nodes.items():
+        if e.parent:
+            edges.append((i, nodes[e.parent], h.EDGES["part" if e.lean or e.tag in h.PART_TAGS else "text" if e.tag in h.TEXT_TAGS | h.CELL_TAGS else "plain"]))
+    for i, b in enumerate(found):
+        edges.append((i, nodes[b[1]], h.EDGES["text"]))
+        if i:
+            edges.append((i - 1, i, h.NEXT / (1 + h.distance(found[i - 1][1], b[1]))))
+    return costs, edges
+
+
+def test_labels_of_whole_pages_are_a_least_cut():
+    rng = random.Random(8)
+    for _ in range(40):
+        parts = [f"<{t}{rng.choice(['', ' class=ad', ' class=post', ' class=site-nav'])}>{rng.choice(['Ok', 'A long line of words that goes on and on for a while.', '<a href=x>Home</a>'])}</{t}>" for t in rng.choices(["p", "div", "nav", "article", "footer"], k=4)]
+        found = h.blocks("<body>" + "".join(parts))
+        costs, edges = whole_graph(found)
+        n = len(costs)
+        if n > 14:
+            continue
+
+        def cost(keep):
+            return sum(c for c, k in zip(costs, keep) if c > 0 and not k) + sum(-c for c, k in zip(costs, keep) if c < 0 and k) + sum(w for a, b, w in edges if keep[a] != keep[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        kept = h.label(found)
+        least = min(cost(kept + [bool(m >> i & 1) for i in range(n - len(found))]) for m in range(1 << (n - len(found))))
+        assert least == pytest.approx(best, abs=1e-6)
+
+
+def test_learnt_weights(spark):
+    rng = random.Random(3)
+    rows = [(i, "u", "<body>" + " ".join(rng.sample(AROUND, 4)) + f"<article>{BODY}</article>", 0, 0) for i in range(30)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    weights = h.learn(pages, sample=20)
+    assert weights != h.PRIOR and weights == h.learn(pages.repartition(3), sample=20)
+    assert weights[1] > 0 > weights[2]
+    assert h.learn(pages.limit(0)) == h.PRIOR
