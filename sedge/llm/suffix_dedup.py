@@ -1,50 +1,125 @@
-"""Suffix-array removal of repeated byte strings, by distributed prefix doubling.
+"""Suffix-array removal of repeated byte strings, by distributed prefix doubling over a sparse set of positions.
 
-Method. Of all byte positions only winnowed anchors enter (see repeats): no string of `window` bytes can repeat unless
-its anchor's core does. Spark sorts (rank, name) pairs of the positions by range, position last, so that equal pairs
-may span tasks; a pair's place among the distinct ones is the new rank, a position whose pair stands alone is unique and
-leaves. A name is that of the bytes from the offset reached so far to the next one, and offsets double: half the core,
-the core (more steps where asked for), then the anchor's context, which is past the threshold. Equal contexts are repeats
-throughout. Where an anchor's core repeats but its context differs, its windows are compared one by one.
+Method. Of all byte positions only anchors are sorted: winnowing picks, in each run of WIDTH neighbouring grams, the one of
+least hash, so equal texts have equal anchors. The anchor after an anchor is the least one of the run that begins just behind it, so
+the way on is decided by what follows alone. An anchor's first name is that of the bytes up to the next one. Spark sorts
+(name, position) by range; an anchor's place among the distinct names is its rank, and an anchor whose name stands
+alone is unique and leaves. Then offsets double: with ranks that tell texts of h steps apart, an anchor's rank is paired
+with that of the anchor h steps on (a join on document and position, which also brings the position 2h steps on), the pairs are sorted
+by range, and their places are the ranks for 2h, until no anchor that is left reaches that far.
 
-Names are 64-bit hashes, checked at every doubling by further ones, so that a wrong match needs a collision of 128 bits.
+An anchor stands for the windows (strings of `window` bytes) in whose first WIDTH grams it is least; they all hold its core,
+the `window - WIDTH + 1` bytes from it. Its reach is the number of steps that the core alone decides, so that equal
+cores have equal reach. Once the offset is past half the reach, the ranks of the anchor and of the one h steps before
+the reach's end, which overlap, name all the bytes to that end; with the name of the core's remaining bytes they are
+sorted a last time. Anchors of equal rank now have equal cores, which is past the threshold for all but the bytes around.
+
+Those are told by the anchor's context, all the bytes that its windows cover: (rank, context) is sorted, and where it is shared
+all windows are repeated. Where a rank has several contexts, one anchor of each is compared window by window
+(repeats.repeated_windows). Pairs at the ends of a sort's ranges, which may go on in the next one, are compared in
+that way too, so that equal pairs may be dealt to many tasks and none has to know its neighbours.
+
+Names are 64-bit hashes of content; a wrong match needs a collision of both the core's names and the context's, 128 bits.
 
 Rows. Null counts as empty. Every row is a document: rows that repeat an id and a text are copies of each other like any
-two rows with that text; rows that share an id with other text, or have no id, are told apart. Columns that the input
-has besides are left out. No rows in, no rows out.
+two rows with that text; rows that share an id with other text, or have no id, are told apart. Ties of the least hash go to
+the first gram. A very long text is a slice of its own, in NumPy arrays of some ten times its length. Columns that the
+input has besides are left out. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import Scratch, parts_for, slices
+from .common import Rolling, Scratch, anchors, parts_for, slices
 
-#: Winnowing: places of which the least is an anchor, and bytes hashed at each.
+#: Winnowing: grams of which the least is an anchor, and bytes hashed at each.
 WIDTH, GRAM = 128, 24
 #: MB of input for each task of a sort.
 TASK_MB = 16
+#: Rows of one rank that a task holds at most.
+PART = 1 << 18
 _RANK = 40  # bits of a rank that number the pairs of one task
+_HERE = ["id", "salt", "place"]
+_TIE = ["id", "salt", "start"]
+
+
+def steps(place: np.ndarray, first: np.ndarray, runs: int, decided: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: the next one, reach, the anchor 2**k steps before the reach's end (2**k at most the reach), that at the end.
+
+    first: the first run of each anchor; a step is decided by the core if it starts fewer than `decided` bytes behind it.
+    The last anchors, behind which no run begins, have no step and no reach.
+    """
+    m = len(place)
+    after = np.where(place + 1 < runs, np.searchsorted(first, place + 1, "right") - 1, -1)
+
+    def walk(count: np.ndarray) -> np.ndarray:
+        at, left = np.arange(m), count.copy()
+        while (go := np.flatnonzero(left > 0)).size:
+            at[go] = after[at[go]]
+            left[go] -= 1
+        return at
+
+    reach, at = np.zeros(m, np.int64), np.arange(m)
+    go = at
+    while (go := go[(after[at[go]] >= 0) & (place[at[go]] < place[go] + decided)]).size:
+        at[go] = after[at[go]]
+        reach[go] += 1
+    half = 1 << np.floor(np.log2(np.maximum(reach, 1))).astype(np.int64)
+    return after, reach, walk(np.where(reach > 0, reach - half, 0)), at
+
+
+def positions(docs: DataFrame, window: int) -> DataFrame:
+    """Anchors of each text: place; start and n of their windows (n is 0 past the last window); reach; the places of the next anchor (on) and
+    of the one that ends with the reach (mid); name of the bytes up to the next anchor, tail (name of the core's bytes after
+    the reach), ctx (name of all that the windows cover)."""
+    core = window - WIDTH + 1
+    decided = core - GRAM - WIDTH + 1  # a step from so far behind the core's begin uses a run that ends inside it
+    if decided < 1:
+        raise ValueError("a core must hold two runs of grams")
+
+    def run(batches):
+        for part, raw, bounds in slices(batches, "text"):
+            roll = Rolling(raw, 12)
+            hashes = roll.windows(GRAM)
+            out: list[list[np.ndarray]] = [[] for _ in range(10)]
+            for k in np.flatnonzero(np.diff(bounds) >= window):
+                low, size = int(bounds[k]), int(bounds[k + 1] - bounds[k])
+                place, first = anchors(hashes[low : low + size - GRAM + 1], WIDTH)
+                after, reach, mid, end = steps(place, first, size - GRAM - WIDTH + 2, decided)
+                windows = size - window + 1
+                owned = np.clip(np.minimum(np.append(first[1:], size), windows) - first, 0, None)
+                use = np.flatnonzero(after >= 0)  # past the last window an anchor only lends its ranks
+                place_, first_, owned_ = place[use], first[use], owned[use]
+                on, last = place[after[use]], place[end[use]]
+                tail = np.maximum(np.minimum(place_ + core, size), last)
+                far = np.minimum(first_ + np.maximum(owned_, 1) - 1 + window, size)
+                for column, x in zip(out, (np.full(len(use), k), place_, first_, owned_, reach[use], on, place[mid[use]], roll.spans(low + place_, low + on), roll.spans(low + last, low + tail), roll.spans(low + first_, low + far))):
+                    column.append(x)
+            if out[0]:
+                rows, place, first, owned, reach, on, mid, name, tail, ctx = (np.concatenate(x) for x in out)
+                repeat = lambda i: part.column(i).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([repeat(0), repeat(1), pa.array(place), pa.array(first), pa.array(owned.astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(on), pa.array(mid), *(pa.array(x.view(np.int64)) for x in (name, tail, ctx))], ["id", "salt", "place", "start", "n", "reach", "on", "mid", "name", "tail", "ctx"])
+
+    return docs.select("id", "salt", "text").mapInArrow(run, "id long, salt long, place long, start long, n int, reach int, on long, mid long, name long, tail long, ctx long")
 
 
 def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch, name: str, n: int) -> DataFrame:
     """rank and the columns of keep, of the rows whose pair others have too; ranks follow the order of pairs.
 
     rows are sorted by range over (pair, id, salt, start), so a pair that many rows have is dealt to several tasks.
-    Each task numbers its distinct pairs; only its first and last pair, which a neighbour may share, go to the driver.
+    Each task numbers its distinct pairs; its first and last pair, which a neighbour may share, are told to the driver, two
+    rows a task, and join back (by broadcast only if Spark finds them small).
     """
-    tie = ["id", "salt", "start"]
-    cols = ["id", "salt", *(c for c in keep if c not in ("id", "salt"))]
-    ordered = rows.select(*pair, *cols).repartitionByRange(n, *pair, *tie).sortWithinPartitions(*pair, *tie).withColumn("pid", F.spark_partition_id().cast("long"))
-    names = ordered.columns
+    cols = [*_TIE, *(c for c in keep if c not in _TIE)]
+    ordered = rows.select(*pair, *cols).repartitionByRange(n, *pair, *_TIE).sortWithinPartitions(*pair, *_TIE).withColumn("pid", F.spark_partition_id().cast("long"))
 
     def run(batches):
-        held, before, local, first = None, False, -1, True  # the row held back; whether it equals the one before
+        held, before, local = None, False, -1  # the row held back; whether it equals the one before; its number
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -71,10 +146,8 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
 
     kinds = ", ".join(f"{c} {t}" for c, t in ordered.dtypes)
     found = scratch.table(ordered.mapInArrow(run, f"{kinds}, local long, alone boolean"), f"{name}-pairs")
-    assert names[-1] == "pid"
     ends = found.groupBy("pid").agg(F.min(F.struct("local", *pair, "alone")).alias("low"), F.max(F.struct("local", *pair, "alone")).alias("high"))
-    # As many rows as there are tasks: where a task's first pair goes on from the task before, it has that one's rank.
-    fixes, last = [], None
+    fixes, last = [], None  # where a task's first pair goes on from the task before, it has that one's rank
     for r in sorted(ends.collect()):
         low, high = tuple(r.low), tuple(r.high)
         goes_on = last is not None and last[0] == low[1:-1]
@@ -88,28 +161,101 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
             fixes.append([r.pid, high[0], (r.pid << _RANK) + high[0], high[-1]])
             last = [high[1:-1], fixes[-1][2], fixes[-1]]
     table = found.sparkSession.createDataFrame(fixes, "pid long, local long, fixed long, drop boolean")
-    joined = found.join(F.broadcast(table), ["pid", "local"], "left").where("not coalesce(drop, alone)")
-    return scratch.table(joined.select(F.coalesce("fixed", F.shiftleft("pid", _RANK) + F.col("local")).alias("rank"), *keep), name)
+    joined = found.join(table, ["pid", "local"], "left").where("not coalesce(drop, alone)")
+    return joined.select(F.coalesce("fixed", F.shiftleft("pid", _RANK) + F.col("local")).alias("rank"), *keep)
+
 
+def paired(rows: DataFrame, ranks: DataFrame, there: str) -> DataFrame:
+    """rows with rank2 and on2, the rank and the way on of the anchor at the place `there`; rows whose partner is unique, and so has no rank, go.
+
+    Rows that repeat a document have the same ranks, so one of them is enough to look up.
+    """
+    known = ranks.groupBy(*_HERE).agg(F.first("rank").alias("rank2"), F.first("on").alias("on2"))
+    a, b = rows.alias("a"), known.alias("b")
+    return a.join(b, repeats.same("a", "b") & (F.col(f"a.{there}") == F.col("b.place"))).select("a.*", "b.rank2", "b.on2")
 
-def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, n: int, doublings: int = 1) -> DataFrame:
+
+def equal_cores(docs: DataFrame, window: int, scratch: Scratch, n: int) -> DataFrame:
+    """rank, id, salt, start, n, ctx of the anchors whose core others have too; equal ranks are equal cores."""
+    carried = ["id", "salt", "place", "start", "n", "reach", "on", "mid", "tail", "ctx"]
+    found = scratch.table(positions(docs, window), "positions")
+    ranks = scratch.table(rerank(found, ["name"], carried, scratch, "h1", n), "ranks1")
+    scratch.drop("positions", "h1-pairs")
+    h, ready = 1, []
+    while True:
+        # An anchor that reaches h steps but not 2h is named by two overlapping ranks; the others go on.
+        near = ranks.where(f"n > 0 and reach >= {h} and reach < {2 * h}")
+        ready.append(scratch.table(paired(near, ranks, "mid").select(F.lit(h).alias("h"), "rank", "rank2", "tail", "id", "salt", "start", "n", "ctx"), f"ready{h}"))
+        on = paired(ranks.where(f"reach >= {2 * h}"), ranks, "on").drop("on").withColumnRenamed("on2", "on")
+        on = scratch.table(on, f"on{h}")
+        scratch.drop(f"ranks{h}")
+        if on.isEmpty():
+            break
+        ranks = scratch.table(rerank(on, ["rank", "rank2"], carried, scratch, f"h{2 * h}", n), f"ranks{2 * h}")
+        scratch.drop(f"on{h}", f"h{2 * h}-pairs")
+        h *= 2
+    whole = ready[0]
+    for part in ready[1:]:
+        whole = whole.union(part)
+    return rerank(whole, ["h", "rank", "rank2", "tail"], ["id", "salt", "start", "n", "ctx"], scratch, "cores", n)
+
+
+def contexts(cores: DataFrame, n: int) -> DataFrame:
+    """id, salt, start, n, key, whole: anchors whose context is shared (whole), and one of each context to compare (key is its rank).
+
+    A range's first and last rank may go on in the next one: one anchor of each of their contexts is to be compared.
+    """
+    ordered = cores.select("rank", "ctx", "id", "salt", "start", "n").repartitionByRange(n, "rank", "ctx", *_TIE).sortWithinPartitions("rank", "ctx", *_TIE)
+
+    def run(batches):
+        held, opening, parted = None, None, None  # rows of the last rank so far; the first rank of the task; the last one met in parts
+
+        def solve(t: pa.Table, ends: bool):
+            """Whole ranks, or with ends, the last of the task."""
+            rank, ctx = t.column("rank").to_numpy(), t.column("ctx").to_numpy()
+            new_rank = np.append(True, rank[1:] != rank[:-1])
+            new = new_rank | np.append(True, ctx[1:] != ctx[:-1])
+            shared = ~new
+            shared[:-1] |= ~new[1:]
+            many = np.add.reduceat(new, np.flatnonzero(new_rank)) > 1
+            at_end = (rank == opening) | (rank == parted)
+            at_end |= ends
+            compared = new & (many[np.cumsum(new_rank) - 1] | at_end)
+            for mark, rows in ((True, shared), (False, compared)):
+                if rows.any():
+                    out = t.filter(pa.array(rows)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*(out.column(c).combine_chunks() for c in ("id", "salt", "start", "n", "rank")), pa.array(np.full(out.num_rows, mark))], ["id", "salt", "start", "n", "key", "whole"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.table(batch)
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            rank = t.column("rank").to_numpy()
+            opening = rank[0] if opening is None else opening
+            if len(rank) > PART and rank[0] == rank[-1]:  # a rank without end: its contexts are met one part after the other
+                ctx = t.column("ctx").to_numpy()
+                last = int(np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))[-1])
+                last = last or len(ctx) - 1
+                yield from solve(t.slice(0, last), True)
+                held, parted = t.slice(last), rank[0]
+                continue
+            last = int(np.searchsorted(rank, rank[-1]))
+            if last:
+                yield from solve(t.slice(0, last), False)
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield from solve(held, True)
+
+    return ordered.mapInArrow(run, "id long, salt long, start long, n int, key long, whole boolean")
+
+
+def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, n: int) -> DataFrame:
     """id, salt, start, n: runs of windows that also start elsewhere. docs: id, salt, text of repeats.keyed(); n: tasks of a sort."""
-    core = window - WIDTH + 1
-    cuts = tuple(core >> k for k in range(doublings, 0, -1))
-    found = scratch.table(repeats.windows(docs, "byte", window, WIDTH, GRAM, cuts), "anchors")
-    blocks = [f"b{i}" for i in range(len(cuts) + 1)]
-    here = ["id", "salt", "start", "n", "ctx"]
-    ranked = rerank(found, blocks[:1], [*here, *blocks[1:]], scratch, "rank0", n)
-    scratch.drop("anchors", "rank0-pairs")
-    for k, name in enumerate(blocks[1:], 1):
-        ranked = rerank(ranked, ["rank", name], [*here, *blocks[k + 1 :]], scratch, f"rank{k}", n)
-        scratch.drop(f"rank{k - 1}", f"rank{k}-pairs")
-    contexts = scratch.table(ranked.groupBy("rank", "ctx").agg(F.count("*").alias("many"), F.min(F.struct("id", "salt", "start", "n")).alias("at")), "contexts")
-    whole = ranked.join(contexts.where("many > 1").select("rank", "ctx"), ["rank", "ctx"], "left_semi").select("id", "salt", "start", "n")
-    mixed = contexts.groupBy("rank").count().where("count > 1").select("rank")
-    edges = contexts.join(mixed, "rank", "left_semi").select(F.col("rank").alias("key"), "at.*")
-    parts = repeats.repeated_windows(repeats.window_hashes(docs, edges, "byte", window), scratch, later_only=False)
-    return whole.union(parts)
+    told = scratch.table(contexts(equal_cores(docs, window, scratch, n), n), "contexts")
+    place = ["id", "salt", "start", F.col("n").cast("long").alias("n")]
+    parts = repeats.repeated_windows(repeats.window_hashes(docs, told.where("not whole").select("key", *place), "byte", window), scratch, later_only=False)
+    return told.where("whole").select(*place).union(parts)
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from sedge.llm import repeats, suffix_dedup
+from sedge.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, start int, rank string"
 
@@ -34,13 +35,12 @@ def corpus(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("seed,doublings,group", [(1, 1, 4096), (2, 2, 3)])
-def test_removal_matches_brute_force(spark, monkeypatch, seed, doublings, group):
-    monkeypatch.setattr(suffix_dedup, "WIDTH", 9)
-    monkeypatch.setattr(suffix_dedup, "GRAM", 4)
+@pytest.mark.parametrize("seed,group,part", [(1, 4096, 1 << 18), (2, 3, 5)])
+def test_removal_matches_brute_force(spark, monkeypatch, seed, group, part):
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     monkeypatch.setattr(repeats, "GROUP", group)
-    find = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, w, s, n: find(d, w, s, n, doublings))
     texts = corpus(seed)
     rows = [(i, t, 5, "r") for i, t in enumerate(texts)]
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(7), window=24).collect()
@@ -48,9 +48,31 @@ def test_removal_matches_brute_force(spark, monkeypatch, seed, doublings, group)
     assert got == dict(enumerate(brute(texts, 24)))
 
 
+def test_ranks_double_until_the_reach_and_tell_cores_apart(spark, monkeypatch):
+    """Equal ranks are equal cores, over all anchors, and some needed several doublings."""
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
+    window = 40
+    core = window - 7 + 1
+    texts = [t or "" for t in corpus(3, 40)] + ["z" * 120, "q" * 90 + "z" * 60]
+    rows = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    scratch = Scratch(spark, "test")
+    keyed = repeats.keyed(rows, scratch)
+    anchors = suffix_dedup.positions(keyed, window).where("n > 0").collect()
+    assert max(r.reach for r in anchors) >= 8
+    cores = {}
+    for r in anchors:
+        cores.setdefault(texts[r.id].encode()[r.place : r.place + core], set()).add((r.id, r.start))
+    want = sorted(sorted(x) for x in cores.values() if len(x) > 1)
+    found = {}
+    for r in suffix_dedup.equal_cores(keyed, window, scratch, 5).collect():
+        found.setdefault(r["rank"], set()).add((r.id, r.start))
+    assert sorted(sorted(x) for x in found.values()) == want
+
+
 def test_repeated_and_null_ids(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "WIDTH", 9)
-    monkeypatch.setattr(suffix_dedup, "GRAM", 4)
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
     rng = random.Random(9)
     a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(3))
     rows = [(1, a, 0, ""), (1, a, 0, ""), (None, b, 0, ""), (2, c + b[:40], 0, ""), (2, c[:10], 0, ""), (None, None, 0, "")]
