@@ -1,124 +1,123 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Method. A text is read as segments: its words, with a space on either side, cut at SEGMENT bytes. Two gated recurrent
-layers read a segment from both ends; at every byte their states give a distribution over the languages. A document's
-probabilities pool those of all its bytes: the mean of their logarithms, times the square root of the number of words
-(neighbouring bytes are far from independent), normalised. As a segment's labels depend on the segment alone, each distinct one is
-labelled once in a slice of text and counted as often as it occurs. The network is trained here in NumPy, by
-backpropagation through time with Adam, on a bounded sample of labelled rows: DOCUMENTS rows in order of a hash of their
-id, and of each WORDS words spread over the whole text. It sees bytes only.
-
-Rows. A null text, or one without a letter, gets `und` and score 0. With no labelled row to learn from all rows do. A
-null id is not held out. Repeated rows each get a row. Columns that the input has besides are left out. No rows in, no rows out.
+Method. Two gated recurrent layers read a text's bytes from both ends; at every byte their states give a distribution over
+the languages. A document's probabilities pool those of all its bytes: the mean of their logarithms, times the square root
+of the number of words (neighbouring bytes are far from independent), normalised. A text is read in windows of CORE bytes; a
+window's layers also read the MARGIN bytes on either side, whose labels they leave to the windows there, so that states
+go on over words, lines and the windows' ends. Windows of a slice are read together, the longer ones first.
+
+The network is trained here in NumPy, by backpropagation through time with Adam, on the whole texts of a bounded
+sample of labelled rows: of each language ROWS, in order of a hash of the row, and of LANGUAGES languages at most, the
+most frequent ones. It sees bytes only. Gates and states are cut off straight lines (between 0 and 1, -1 and 1) instead of curves.
+
+Rows. A null text, or one without a letter, gets `und` and score 0. Of equal probabilities the language that comes first in
+the alphabet is taken. With no labelled row to learn from all rows do. A null id is not held out. Repeated rows each get a row. A
+very long text is read window by window. Columns that the input has besides are left out. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, find_words, rest_of, slices, whole_rows
-
-#: The bound of the training sample: rows, and words of each.
-DOCUMENTS, WORDS = 3000, 40
-#: One word in so many is also shown in capitals.
-SHOUTED = 5
-#: Bytes of a segment at most; units of a layer; passes over the sample; segments of a step.
-SEGMENT, HIDDEN, EPOCHS, BATCH = 24, 24, 3, 256
-#: Segments whose labels a worker keeps at most.
-KNOWN = 200_000
+from .common import find_words, rest_of, slices, whole_rows
+
+#: The bound of the training sample: rows of each language, and languages.
+ROWS, LANGUAGES = 150, 256
+#: One training window in so many is also shown in capitals.
+SHOUTED = 6
+#: Bytes of a window that get labels, and bytes read before and after them.
+CORE, MARGIN = 480, 16
+#: Units of a layer; passes over the sample; bytes of a training window, and windows of a step.
+HIDDEN, EPOCHS, TRAINED, BATCH = 5, 3, 96, 192
+#: Windows that are read together at most, and bytes of text of a slice.
+TOGETHER, SLICE = 2048, 1 << 21
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
-    """Weights: for each direction, by byte (x: 256 by 3H), state (u: H by 3H); and out (2H by languages), bias."""
+    """Weights: for each direction, by byte (x: 3H by 256) and state (u: 3H by H); and out (languages by 2H), bias.
+
+    Rows of x and u are those of the gate that keeps the state, the gate that shows it to the candidate, the candidate.
+    """
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 0):
         draw = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
-        f = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[0] if len(shape) > 1 and shape[0] != 256 else 4)).astype(np.float32)
-        self.w = {"xf": f(256, 3 * hidden), "uf": f(hidden, 3 * hidden), "xb": f(256, 3 * hidden), "ub": f(hidden, 3 * hidden), "out": f(2 * hidden, len(languages)), "bias": np.zeros(len(languages), np.float32)}
-
-    def _read(self, codes: np.ndarray, x: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
-        """States after each byte of codes (n by L), as L by n by H."""
-        n, length = codes.shape
+        f = lambda scale, *shape: (draw.standard_normal(shape) * scale).astype(np.float32)
+        self.w = {}
+        for side in "fb":
+            x = f(0.3, 3 * hidden, 256)
+            x[: 2 * hidden] += 0.5  # gates begin half open
+            self.w |= {"x" + side: x, "u" + side: f(0.3 / np.sqrt(hidden), 3 * hidden, hidden)}
+        self.w |= {"out": f(1 / np.sqrt(2 * hidden), len(languages), 2 * hidden), "bias": np.zeros(len(languages), np.float32)}
+
+    def _read(self, codes: np.ndarray, x: np.ndarray, u: np.ndarray, keep: list) -> np.ndarray:
+        """States (L by H by n) after each byte of codes (L by n); keep gets what the way back needs."""
+        length, n = codes.shape
         k = self.hidden
-        h, states = np.zeros((n, k), np.float32), np.empty((length, n, k), np.float32)
+        h, states = np.zeros((k, n), x.dtype), np.empty((length, k, n), x.dtype)
         for t in range(length):
-            a, b = x[codes[:, t]], h @ u
-            gates = _sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            new = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
-            if keep is not None:
-                keep.append((h, z, r, new, b[:, 2 * k :]))
+            a, b = x[:, codes[t]], u @ h
+            gates = np.clip(a[: 2 * k] + b[: 2 * k], 0, 1)
+            z, r = gates[:k], gates[k:]
+            new = np.clip(a[2 * k :] + r * b[2 * k :], -1, 1)
+            keep.append((h, z, r, new, b[2 * k :]))
             h = new + z * (h - new)
             states[t] = h
         return states
 
-    def _states(self, codes: np.ndarray, keep: tuple | None = None) -> np.ndarray:
-        forward = self._read(codes, self.w["xf"], self.w["uf"], keep and keep[0])
-        backward = self._read(codes[:, ::-1], self.w["xb"], self.w["ub"], keep and keep[1])[::-1]
-        return np.concatenate([forward, backward], axis=2)
-
-    def labels(self, codes: np.ndarray) -> np.ndarray:
-        """Log probabilities of the languages at each byte: L by n by languages."""
-        scores = self._states(codes) @ self.w["out"] + self.w["bias"]
-        scores -= scores.max(axis=2, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=2, keepdims=True))
-
     def gradients(self, codes: np.ndarray, want: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all bytes, and its derivatives, by backpropagation through time."""
-        keep = ([], [])
-        states = self._states(codes, keep)
-        length, n, _ = states.shape
-        k = self.hidden
-        scores = states @ self.w["out"] + self.w["bias"]
-        scores -= scores.max(axis=2, keepdims=True)
+        """Mean cross entropy over all bytes of codes (L by n), and its derivatives, by backpropagation through time."""
+        kept = ([], [])
+        forward = self._read(codes, self.w["xf"], self.w["uf"], kept[0])
+        backward = self._read(codes[::-1], self.w["xb"], self.w["ub"], kept[1])[::-1]
+        states = np.concatenate([forward, backward], axis=1)
+        length, _, n = states.shape
+        k, many = self.hidden, len(self.languages)
+        scores = self.w["out"] @ states + self.w["bias"][:, None]
+        scores -= scores.max(axis=1, keepdims=True)
         p = np.exp(scores)
-        p /= p.sum(axis=2, keepdims=True)
-        loss = -np.log(p[:, np.arange(n), want] + 1e-12).mean()
-        p[:, np.arange(n), want] -= 1
+        p /= p.sum(axis=1, keepdims=True)
+        at = np.arange(n)
+        loss = -np.log(p[:, want, at] + 1e-12).mean()
+        p[:, want, at] -= 1
         p /= n * length
         g = {name: np.zeros_like(w) for name, w in self.w.items()}
-        g["out"] += np.tensordot(states, p, axes=([0, 1], [0, 1]))
-        g["bias"] += p.sum(axis=(0, 1))
-        down = p @ self.w["out"].T
-        for side, kept, seen, into in (("f", keep[0], codes, down[:, :, :k]), ("b", keep[1], codes[:, ::-1], down[::-1, :, k:])):
-            u, later = self.w["u" + side], np.zeros((n, k), np.float32)
+        flat = p.transpose(1, 0, 2).reshape(many, -1)
+        g["out"] += flat @ states.transpose(1, 0, 2).reshape(2 * k, -1).T
+        g["bias"] += flat.sum(axis=1)
+        down = self.w["out"].T @ p
+        for side, steps, seen, into in (("f", kept[0], codes, down[:, :k]), ("b", kept[1], codes[::-1], down[::-1, k:])):
+            u, later, da = self.w["u" + side], np.zeros((k, n), p.dtype), np.empty((length, 3 * k, n), p.dtype)
             for t in range(length - 1, -1, -1):
-                h, z, r, new, inner = kept[t]
+                h, z, r, new, inner = steps[t]
                 d = into[t] + later
-                dnew = d * (1 - z) * (1 - new * new)
-                dz, dr = d * (h - new) * z * (1 - z), dnew * inner * r * (1 - r)
-                db = np.concatenate([dz, dr, dnew * r], axis=1)
-                g["u" + side] += h.T @ db
-                np.add.at(g["x" + side], seen[:, t], np.concatenate([dz, dr, dnew], axis=1))
-                later = d * z + db @ u.T
+                dnew = d * (1 - z) * (np.abs(new) < 1)
+                dz, dr = d * (h - new) * ((z > 0) & (z < 1)), dnew * inner * ((r > 0) & (r < 1))
+                db = np.concatenate([dz, dr, dnew * r])
+                g["u" + side] += db @ h.T
+                da[t, : 2 * k], da[t, 2 * k :] = db[: 2 * k], dnew
+                later = d * z + u.T @ db
+            byte = seen.ravel()
+            order = np.argsort(byte, kind="stable")
+            lead = np.flatnonzero(np.diff(byte[order], prepend=-1))
+            g["x" + side][:, byte[order][lead]] += np.add.reduceat(da.transpose(1, 0, 2).reshape(3 * k, -1)[:, order], lead, axis=1)
         return float(loss), g
 
-    def train(self, segments: list[bytes], want: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.01, seed: int = 0) -> None:
-        """Adam over batches of segments of one length, in an order drawn anew each time."""
+    def train(self, windows: np.ndarray, want: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> None:
+        """Adam over batches of windows (n by L bytes), in an order drawn anew each time."""
         draw = np.random.default_rng(seed)
-        lens = np.array([len(s) for s in segments])
-        groups = [np.flatnonzero(lens == n) for n in np.unique(lens)]
         m, v, step = {k: np.zeros_like(w) for k, w in self.w.items()}, {k: np.zeros_like(w) for k, w in self.w.items()}, 0
-        codes = {int(lens[g[0]]): np.frombuffer(b"".join(segments[i] for i in g), np.uint8).reshape(len(g), -1) for g in groups}
-        total = epochs * sum(-(-len(g) // batch) for g in groups)
+        parts = -(-len(windows) // batch)
         for _ in range(epochs):
-            parts = [(g[0], rows) for g in groups for order in [draw.permutation(len(g))] for rows in np.array_split(order, -(-len(g) // batch))]
-            for at in draw.permutation(len(parts)):
-                first, rows = parts[at]
-                group = next(g for g in groups if g[0] == first)
-                _, g = self.gradients(codes[int(lens[first])][rows], want[group[rows]])
+            for rows in np.array_split(draw.permutation(len(windows)), parts):
+                _, g = self.gradients(np.ascontiguousarray(windows[rows].T).astype(np.intp), want[rows])
                 step += 1
-                now = rate * (1 - 0.9 * step / total)
+                now = rate * (1 - 0.9 * step / (epochs * parts))
                 norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
                 for k, w in self.w.items():
                     d = g[k] * min(1.0, 1.0 / (norm + 1e-9))
@@ -126,87 +125,127 @@ class Network:
                     v[k] += 0.01 * (d * d - v[k])
                     w -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def label_segments(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sums over their bytes of the languages' log probabilities, for segments of raw (n by languages)."""
-        out = np.empty((len(starts), len(self.languages)), np.float32)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            for s in range(0, len(rows), 4096):
-                part = rows[s : s + 4096]
-                codes = np.full((len(part), size + 2), 0x20, np.uint8)
-                codes[:, 1:-1] = raw[starts[part, None] + np.arange(size)]
-                out[part] = self.labels(codes)[1:-1].sum(axis=0)
-        return out
-
-
-def segments_of(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into segments of SEGMENT bytes at most: starts, sizes, owners."""
-    pieces = -(-(ends - starts) // SEGMENT)
-    step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = np.repeat(starts, pieces) + step * SEGMENT
-    return begin, np.minimum(SEGMENT, np.repeat(ends, pieces) - begin), np.repeat(owner, pieces)
-
-
-class Labeller:
-    """A network with a bounded table of segments that it has labelled."""
-
-    def __init__(self, net: Network):
-        self.net, self.known, self.table = net, {}, np.zeros((0, len(net.languages)), np.float32)
+    def label(self, codes: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of the languages' log probabilities at the bytes from first to last of each window (languages by n).
+
+        codes: L by n; sizes: the windows' bytes, the longest first. A window takes no part in steps beyond its end.
+        """
+        k, (length, n) = self.hidden, codes.shape
+        w, out, bias = self.w, self.w["out"], self.w["bias"][:, None]
+        here = np.searchsorted(-sizes, -np.arange(1, length + 1), "right")  # windows that have a byte t
+        a, b, g, new = (np.empty((rows, n), np.float32) for rows in (3 * k, 3 * k, 2 * k, k))
+        states, sums = np.empty((length, k, n), np.float32), np.zeros((len(self.languages), n), np.float32)
+
+        def step(h, codes_t, side, m):
+            a_, b_, g_, new_ = a[:, :m], b[:, :m], g[:, :m], new[:, :m]
+            np.take(w["x" + side], codes_t[:m], axis=1, out=a_, mode="clip")
+            np.matmul(w["u" + side], h, out=b_)
+            np.add(a_[: 2 * k], b_[: 2 * k], out=g_)
+            np.clip(g_, 0, 1, out=g_)
+            np.multiply(g_[k:], b_[2 * k :], out=new_)
+            np.add(new_, a_[2 * k :], out=new_)
+            np.clip(new_, -1, 1, out=new_)
+            h -= new_
+            h *= g_[:k]
+            h += new_
+
+        h = np.zeros((k, n), np.float32)
+        for t in range(length):
+            m = int(here[t])
+            step(h[:, :m], codes[t], "f", m)
+            states[t, :, :m] = h[:, :m]
+        h[:] = 0
+        small = np.abs(out).sum(axis=1).max() + np.abs(bias).max() < 60  # states are at most 1, so no exponential overflows
+        for t in range(length - 1, -1, -1):
+            m = int(here[t])
+            step(h[:, :m], codes[t], "b", m)
+            s = out[:, :k] @ states[t, :, :m]
+            s += out[:, k:] @ h[:, :m]
+            s += bias
+            if not small:
+                s -= s.max(axis=0)
+            s -= np.log(np.exp(s).sum(axis=0))
+            if t < MARGIN or t >= CORE:
+                s *= (first[:m] <= t) & (t < last[:m])
+            sums[:, :m] += s
+        return sums
 
     def pooled(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages for each row of a slice."""
-        starts, ends, counts = find_words(raw, bounds)
-        rows = len(bounds) - 1
-        begin, sizes, owner = segments_of(starts, ends, np.repeat(np.arange(rows), counts))
-        hashes = Rolling(raw, 31).spans(begin, begin + sizes)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN:
-            self.known, self.table = {}, self.table[:0]
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self.known.update((keys[i], len(self.table) + j) for j, i in enumerate(new))
-            self.table = np.concatenate([self.table, self.net.label_segments(raw, begin[first[new]], sizes[first[new]])])
-        at = np.array([self.known[k] for k in keys], np.int64)
-        sums = np.zeros((rows, self.table.shape[1]))
-        if len(owner):
-            lead = np.flatnonzero(np.diff(owner, prepend=-1))
-            sums[owner[lead]] = np.add.reduceat(self.table[at[inverse]].astype(np.float64), lead, axis=0)
-        n = np.bincount(owner, weights=sizes, minlength=rows)
-        logs = sums / np.maximum(n, 1)[:, None] * np.sqrt(np.maximum(counts, 1))[:, None]
+        """Probabilities of the languages for each row of a slice of bytes."""
+        rows, sums = len(bounds) - 1, np.zeros((len(bounds) - 1, len(self.languages)))
+        views = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(CORE + 2 * MARGIN, np.uint8)), CORE + 2 * MARGIN)
+        for part in windows_of(bounds):
+            begin, sizes, first, last, owner = part
+            codes = np.ascontiguousarray(views[begin, : int(sizes[0])].T).astype(np.intp)
+            np.add.at(sums, owner, self.label(codes, sizes, first, last).T.astype(np.float64))
+        words = find_words(raw, bounds)[2]
+        logs = sums / np.maximum(np.diff(bounds), 1)[:, None] * np.sqrt(np.maximum(words, 1))[:, None]
         p = np.exp(logs - logs.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
+def windows_of(bounds: np.ndarray, core: int | None = None, margin: int | None = None, together: int | None = None):
+    """Windows of the rows of a slice, some at a time, the longer first: begin, size, where labels begin and end in it, row."""
+    core, margin, together = core or CORE, MARGIN if margin is None else margin, together or TOGETHER
+    sizes = np.diff(bounds)
+    many = -(-sizes // core)
+    owner = np.repeat(np.arange(len(sizes)), many)
+    low = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * core
+    high = np.minimum(low + core, sizes[owner])
+    begin, end = np.maximum(low - margin, 0), np.minimum(high + margin, sizes[owner])
+    order = np.argsort(begin - end, kind="stable")
+    for s in range(0, len(order), together):
+        o = order[s : s + together]
+        yield bounds[:-1][owner[o]] + begin[o], (end - begin)[o], (low - begin)[o], (high - begin)[o], owner[o]
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % parts
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, documents: int = DOCUMENTS, words: int = WORDS) -> Network | None:
+def sample_of(rows: DataFrame, each: int = ROWS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """(lang, text) of `each` rows of each language, in order of h. rows: h (a hash over all 64 bits), lang, text.
+
+    A bound on the hash leaves about three times as many of each language, so the sort that follows is as small as the sample.
+    """
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return []
+    share = lambda n: min(1.0, (3 * each + 50) / n)
+    bounds = rows.sparkSession.createDataFrame([(r.lang, -(1 << 63) + min((1 << 64) - 1, int(share(r["count"]) * (1 << 64)))) for r in counts], "of string, most long")
+    near = rows.join(bounds, F.col("lang") == F.col("of")).where(F.col("h") <= F.col("most")).select("h", "lang", "text")
+    line = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return [(r.lang, r.text) for r in near.withColumn("at", line).where(F.col("at") <= each).orderBy("h", "lang", "text").select("lang", "text").collect()]
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, each: int = ROWS) -> Network | None:
     """A network from a bounded sample of the labelled rows that are not held out; None if there are none."""
     held_out = fold(F.col(id_col), 4) == 2 if held_out is None else held_out
     rows = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    last = rows.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    if last is None:
-        return None
-    # Rows that tie on the last hash all take part; then the words of `documents` rows are taken at most.
-    chosen = rows.where(F.col("h") <= last).select("h", "lang", F.expr("filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')").alias("w"))
-    every = F.greatest(F.lit(1), F.ceil(F.size("w") / words).cast("int"))
-    picked = chosen.withColumn("every", every).select("h", "lang", F.expr("transform(filter(w, (x, i) -> i % every = 0), x -> substring(x, 1, 24))").alias("w"))
-    sample = sorted(tuple(r) for r in picked.limit(2 * documents).collect())[:documents]
-    languages = sorted({lang for _, lang, _ in sample})
-    segments, want = [], []
-    for _, lang, found in sample:
-        for k, x in enumerate(found):
-            for form in (x, x.upper()) if k % SHOUTED == 0 else (x,):
-                segments.append(b" " + form.encode()[:SEGMENT] + b" ")
-                want.append(languages.index(lang))
-    if not segments:
+    sample = sample_of(rows.select(F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), each)
+    languages = sorted({lang for lang, _ in sample})
+    windows, want, rest = [], [], {}
+    for lang, text in sample:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        y, cut = languages.index(lang), len(raw) // TRAINED * TRAINED
+        windows.append(raw[:cut].reshape(-1, TRAINED))
+        want.append(np.full(cut // TRAINED, y))
+        shout = np.frombuffer(text.upper().encode(), np.uint8)
+        shout = shout[: len(shout) // TRAINED * TRAINED].reshape(-1, TRAINED)[::SHOUTED]
+        windows.append(shout)
+        want.append(np.full(len(shout), y))
+        rest.setdefault(y, []).append(raw[cut:])
+    for y, parts in rest.items():  # what is left of each text, end to end; the last window begins earlier or is filled with spaces
+        raw = np.concatenate([x for part in parts for x in (part, np.array([0x20], np.uint8))])
+        if short := -len(raw) % TRAINED:
+            raw = np.append(raw, np.full(short, 0x20, np.uint8))
+        windows.append(raw.reshape(-1, TRAINED))
+        want.append(np.full(len(raw) // TRAINED, y))
+    if not windows:
         return None
     net = Network(languages)
-    net.train(segments, np.array(want))
+    net.train(np.concatenate(windows), np.concatenate(want))
     return net
 
 
@@ -214,10 +253,9 @@ def _run(net: Network, text: int, letters: int, keep: list[int], names: list[str
     """For batches with the text and whether it has letters: the columns of keep, the language and its probability."""
 
     def run(batches):
-        use = Labeller(net)
         of = np.array([*net.languages, UNKNOWN], object)
-        for part, raw, bounds in slices(batches, names[text]):
-            p = use.pooled(raw, bounds)
+        for part, raw, bounds in slices(batches, names[text], SLICE):
+            p = net.pooled(raw, bounds)
             best, has = p.argmax(axis=1), part.column(letters).to_numpy(zero_copy_only=False)
             score = np.where(has, p[np.arange(len(p)), best], 0.0)
             found = pa.array(of[np.where(has, best, len(net.languages))].tolist(), pa.string())
