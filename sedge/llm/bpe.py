@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Characters of a chunk and of its overlap with the next.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 512, 64
 #: Characters above which a text is dealt to several tasks, in chunks of so many.
-SPREAD = 1 << 20
+SPREAD = 1 << 16
 #: Pre-tokens at a chunk's cut end that are not trusted: the cut can change the last one and white space before it.
 UNSURE = 2
 #: Distinct pieces that a worker remembers at most.

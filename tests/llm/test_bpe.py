@@ -31,6 +31,21 @@ def test_chunks_are_stitched_as_the_whole_is_read():
             assert use.pieces(t or "", chunk, overlap) == regex.findall(P.PATTERN, t or "")
 
 
+def test_no_text_is_read_whole():
+    """Pre-tokens of texts longer than a chunk come from its chunks alone."""
+    use, real, seen = bpe.Coder(PATH, P.PATTERN), regex.compile(P.PATTERN), []
+
+    class Told:
+        def findall(self, text):
+            seen.append(len(text))
+            return real.findall(text)
+
+    use.find = Told()
+    text = "some ordinary words of a text, 12 and more.\n" * 200
+    assert use.pieces(text) == real.findall(text)
+    assert max(seen) <= bpe.CHUNK + bpe.OVERLAP < len(text) and len(seen) > 10
+
+
 def test_query_digests_equal_the_library(spark):
     enc = library()
     want = {}
