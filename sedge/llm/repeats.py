@@ -34,6 +34,11 @@ def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     return joined.select("id", F.when(F.col("hit"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("salt"), "text", "rest")
 
 
+def told_apart(scratch: Scratch) -> bool:
+    """Whether keyed() has found no id that several rows have, and none without one."""
+    return scratch.spark.read.schema("same long").parquet(f"{scratch.root}/often").isEmpty()
+
+
 def symbols(raw: np.ndarray, bounds: np.ndarray, unit: str, seed: int) -> tuple[np.ndarray, np.ndarray, tuple | None]:
     """A slice's symbols, each row's bounds in them, and for words where they start and end in the bytes."""
     if unit == "byte":

@@ -48,29 +48,26 @@ _HERE = ["id", "salt", "place"]
 _TIE = ["id", "salt", "start"]
 
 
-def steps(place: np.ndarray, first: np.ndarray, runs: int, decided: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: the next one, reach, the anchor 2**k steps before the reach's end (2**k at most the reach), that at the end.
+def steps(place: np.ndarray, first: np.ndarray, last_run: np.ndarray, decided: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor of a slice: the next one, reach, the anchor 2**k steps before the reach's end (2**k at most the reach), that at the end.
 
-    first: the first run of each anchor; a step is decided by the core if it starts fewer than `decided` bytes behind it.
-    The last anchors, behind which no run begins, have no step and no reach.
+    first: the first run of each anchor; last_run: that of its text; a step is decided by the core if it starts fewer than
+    `decided` bytes behind it. The last anchors of a text, behind which no run begins, have no step (-1) and no reach.
     """
     m = len(place)
-    after = np.where(place + 1 < runs, np.searchsorted(first, place + 1, "right") - 1, -1)
-
-    def walk(count: np.ndarray) -> np.ndarray:
-        at, left = np.arange(m), count.copy()
-        while (go := np.flatnonzero(left > 0)).size:
-            at[go] = after[at[go]]
-            left[go] -= 1
-        return at
-
-    reach, at = np.zeros(m, np.int64), np.arange(m)
-    go = at
-    while (go := go[(after[at[go]] >= 0) & (place[at[go]] < place[go] + decided)]).size:
-        at[go] = after[at[go]]
+    after = np.where(place < last_run, np.searchsorted(first, place + 1, "right") - 1, -1)
+    reach, end = np.zeros(m, np.int64), np.arange(m)
+    go = end
+    while (go := go[(after[end[go]] >= 0) & (place[end[go]] < place[go] + decided)]).size:
+        end[go] = after[end[go]]
         reach[go] += 1
-    half = 1 << np.floor(np.log2(np.maximum(reach, 1))).astype(np.int64)
-    return after, reach, walk(np.where(reach > 0, reach - half, 0)), at
+    left = reach - (1 << np.floor(np.log2(np.maximum(reach, 1))).astype(np.int64))
+    mid, go = np.arange(m), np.flatnonzero(left > 0)
+    while go.size:
+        mid[go] = after[mid[go]]
+        left[go] -= 1
+        go = go[left[go] > 0]
+    return after, reach, mid, end
 
 
 def positions(docs: DataFrame, window: int) -> DataFrame:
@@ -86,22 +83,23 @@ def positions(docs: DataFrame, window: int) -> DataFrame:
         for part, raw, bounds in slices(batches, "text"):
             roll = Rolling(raw, 12)
             hashes = roll.windows(GRAM)
-            out: list[list[np.ndarray]] = [[] for _ in range(10)]
-            for k in np.flatnonzero(np.diff(bounds) >= window):
-                low, size = int(bounds[k]), int(bounds[k + 1] - bounds[k])
-                place, first = anchors(hashes[low : low + size - GRAM + 1], WIDTH)
-                after, reach, mid, end = steps(place, first, size - GRAM - WIDTH + 2, decided)
-                windows = size - window + 1
-                owned = np.clip(np.minimum(np.append(first[1:], size), windows) - first, 0, None)
+            long = np.flatnonzero(np.diff(bounds) >= window)
+            found = [anchors(hashes[bounds[k] : bounds[k + 1] - GRAM + 1], WIDTH) for k in long]
+            if found:
+                rows = np.repeat(long, [len(place) for place, _ in found])
+                low, size = bounds[rows], np.diff(bounds)[rows]
+                place, first = (np.concatenate(x) + low for x in zip(*found))
+                after, reach, mid, end = steps(place, first, low + size - GRAM - WIDTH + 1, decided)
+                windows = low + size - window + 1
+                until = np.append(np.where(rows[1:] == rows[:-1], first[1:], windows[:-1]), windows[-1:])
+                owned = np.clip(np.minimum(until, windows) - first, 0, None)
+                tail = np.maximum(np.minimum(place + core, low + size), place[end])
+                far = np.minimum(first + np.maximum(owned, 1) - 1 + window, low + size)
+                on, mid, last = place[after], place[mid], place[end]
                 use = np.flatnonzero(after >= 0)  # past the last window an anchor only lends its ranks
-                place_, first_, owned_ = place[use], first[use], owned[use]
-                on, last = place[after[use]], place[end[use]]
-                tail = np.maximum(np.minimum(place_ + core, size), last)
-                far = np.minimum(first_ + np.maximum(owned_, 1) - 1 + window, size)
-                for column, x in zip(out, (np.full(len(use), k), place_, first_, owned_, reach[use], on, place[mid[use]], roll.spans(low + place_, low + on), roll.spans(low + last, low + tail), roll.spans(low + first_, low + far))):
-                    column.append(x)
-            if out[0]:
-                rows, place, first, owned, reach, on, mid, name, tail, ctx = (np.concatenate(x) for x in out)
+                rows, place, first, owned, reach, on, mid, last, tail, far, low = (x[use] for x in (rows, place, first, owned, reach, on, mid, last, tail, far, low))
+                name, tail, ctx = roll.spans(place, on), roll.spans(last, tail), roll.spans(first, far)
+                place, first, on, mid = place - low, first - low, on - low, mid - low
                 repeat = lambda i: part.column(i).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([repeat(0), repeat(1), pa.array(place), pa.array(first), pa.array(owned.astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(on), pa.array(mid), *(pa.array(x.view(np.int64)) for x in (name, tail, ctx))], ["id", "salt", "place", "start", "n", "reach", "on", "mid", "name", "tail", "ctx"])
 
@@ -165,17 +163,18 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
     return joined.select(F.coalesce("fixed", F.shiftleft("pid", _RANK) + F.col("local")).alias("rank"), *keep)
 
 
-def paired(rows: DataFrame, ranks: DataFrame, there: str) -> DataFrame:
+def paired(rows: DataFrame, ranks: DataFrame, there: str, once: bool) -> DataFrame:
     """rows with rank2 and on2, the rank and the way on of the anchor at the place `there`; rows whose partner is unique, and so has no rank, go.
 
-    Rows that repeat a document have the same ranks, so one of them is enough to look up.
+    Rows that repeat a document have the same ranks, so one of them is enough to look up; `once` if there are none.
     """
-    known = ranks.groupBy(*_HERE).agg(F.first("rank").alias("rank2"), F.first("on").alias("on2"))
+    known = ranks.select(*_HERE, F.col("rank").alias("rank2"), F.col("on").alias("on2"))
+    known = known if once else known.groupBy(*_HERE).agg(F.first("rank2").alias("rank2"), F.first("on2").alias("on2"))
     a, b = rows.alias("a"), known.alias("b")
     return a.join(b, repeats.same("a", "b") & (F.col(f"a.{there}") == F.col("b.place"))).select("a.*", "b.rank2", "b.on2")
 
 
-def equal_cores(docs: DataFrame, window: int, scratch: Scratch, n: int) -> DataFrame:
+def equal_cores(docs: DataFrame, window: int, scratch: Scratch, n: int, once: bool = False) -> DataFrame:
     """rank, id, salt, start, n, ctx of the anchors whose core others have too; equal ranks are equal cores."""
     carried = ["id", "salt", "place", "start", "n", "reach", "on", "mid", "tail", "ctx"]
     found = scratch.table(positions(docs, window), "positions")
@@ -185,8 +184,8 @@ def equal_cores(docs: DataFrame, window: int, scratch: Scratch, n: int) -> DataF
     while True:
         # An anchor that reaches h steps but not 2h is named by two overlapping ranks; the others go on.
         near = ranks.where(f"n > 0 and reach >= {h} and reach < {2 * h}")
-        ready.append(scratch.table(paired(near, ranks, "mid").select(F.lit(h).alias("h"), "rank", "rank2", "tail", "id", "salt", "start", "n", "ctx"), f"ready{h}"))
-        on = paired(ranks.where(f"reach >= {2 * h}"), ranks, "on").drop("on").withColumnRenamed("on2", "on")
+        ready.append(scratch.table(paired(near, ranks, "mid", once).select(F.lit(h).alias("h"), "rank", "rank2", "tail", "id", "salt", "start", "n", "ctx"), f"ready{h}"))
+        on = paired(ranks.where(f"reach >= {2 * h}"), ranks, "on", once).drop("on").withColumnRenamed("on2", "on")
         on = scratch.table(on, f"on{h}")
         scratch.drop(f"ranks{h}")
         if on.isEmpty():
@@ -250,9 +249,9 @@ def contexts(cores: DataFrame, n: int) -> DataFrame:
     return ordered.mapInArrow(run, "id long, salt long, start long, n int, key long, whole boolean")
 
 
-def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, n: int) -> DataFrame:
-    """id, salt, start, n: runs of windows that also start elsewhere. docs: id, salt, text of repeats.keyed(); n: tasks of a sort."""
-    told = scratch.table(contexts(equal_cores(docs, window, scratch, n), n), "contexts")
+def repeated_spans(docs: DataFrame, window: int, scratch: Scratch, n: int, once: bool = False) -> DataFrame:
+    """id, salt, start, n: runs of windows that also start elsewhere. docs: id, salt, text of repeats.keyed(); n: tasks of a sort; once: no row repeats another."""
+    told = scratch.table(contexts(equal_cores(docs, window, scratch, n, once), n), "contexts")
     place = ["id", "salt", "start", F.col("n").cast("long").alias("n")]
     parts = repeats.repeated_windows(repeats.window_hashes(docs, told.where("not whole").select("key", *place), "byte", window), scratch, later_only=False)
     return told.where("whole").select(*place).union(parts)
@@ -262,7 +261,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes that are left)."""
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = repeats.keyed(docs, scratch, id_col, text_col)
-    spans = scratch.table(repeated_spans(rows, window, scratch, parts_for(docs, TASK_MB)), "spans")
+    spans = scratch.table(repeated_spans(rows, window, scratch, parts_for(docs, TASK_MB), repeats.told_apart(scratch)), "spans")
 
     def run(batches):
         for part, raw, bounds in slices(batches, "text"):
