@@ -81,3 +81,13 @@ def test_rows(spark):
     assert got == [(0, True, 1.0, [8, 9]), (1, True, 1.0, [8, 9]), (1, True, 1.0, [8, 9]), (2, False, 0.0, [])]
     assert [r.contaminated for r in d.decontaminate(docs, items.limit(0)).collect()] == [False] * 4
     assert d.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_least_loses_no_contaminated_document(spark):
+    docs, items = corpus()
+    docs += ["aaa bbb ccc ddd " * 9] * 30  # makes some seeds frequent
+    items += ["aaa bbb ccc ddd aaa bbb ccc ddd one two three four five six", "x1 x2 x3 aaa bbb ccc ddd x4 x5 x6"]
+    a, b = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(docs)], DOCS), spark.createDataFrame([(i, t, 3) for i, t in enumerate(items)], ITEMS)
+    whole = {r.doc_id: (r.contaminated, r.coverage if r.contaminated else 0.0, list(r.items)) for r in d.decontaminate(a, b).collect()}
+    found = {r.doc_id: (r.contaminated, r.coverage, list(r.items)) for r in d.decontaminate(a, b, least=d.THRESHOLD).collect()}
+    assert found == whole and any(c for c, _, _ in whole.values())
