@@ -239,14 +239,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, most: int = MAX_BITS) -> DataFrame:
-    """docs, all their columns, with one row of each class: that of the least id (if several have it, of the least text).
+    """docs, all their columns, with one row of each class: that of the least id (if several of the class have it, of the least text).
 
-    Rows without an id are in no class and stay.
+    Classes are of fingerprints, so rows that share an id with an unrelated text are in classes of their own. Rows without an
+    id are in no class and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, seed, most)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest_of(docs, text_col).alias("rest")).alias("row"))
-    kept = rows.join(first, F.col("id") == F.col("first"), "left_semi")
-    one = kept.groupBy("id").agg(F.min_by("row", F.col("row.text")).alias("row")).select("row")
-    both = one.union(rows.where("id is null").select("row")).select("row.*")
+    scratch = Scratch(docs.sparkSession, "simhash")
+
+    def run(batches):
+        for part, raw, bounds in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_fingerprints(raw, bounds, shingle, seed).view(np.int64))], ["id", "text", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    marked = rows.mapInArrow(run, "id long, text string, fp long").select("id", "fp", F.sha2("text", 256).alias("text"))
+    prints = scratch.table(marked, "prints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("id", "text")).alias("first"))
+    classes = components(links(nodes.select("fp", F.col("fp").alias("rep")), scratch, most), scratch)
+    heads = nodes.join(classes, nodes.fp == classes.node, "left").groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
+    first = scratch.table(heads.select(F.col("first.id").alias("first"), F.col("first.text").alias("head")).distinct(), "heads")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), rest_of(docs, text_col).alias("rest"))
+    kept = whole.join(first, (F.col("id") == F.col("first")) & (F.sha2(F.col("text"), 256) == F.col("head")), "left_semi")
+    often = scratch.table(prints.groupBy("id", "text").count().where("count > 1").select(F.col("id").alias("same"), F.col("text").alias("hash")), "often")
+    if not often.isEmpty():  # of rows that repeat an id and a text one stays
+        kept = kept.groupBy("id", F.sha2("text", 256)).agg(F.first(F.struct("text", "rest")).alias("row")).select("id", "row.text", "row.rest")
+    both = kept.select("text", "rest").union(whole.where("id is null").select("text", "rest"))
     return whole_rows(both, docs.columns, text_col, F.col("text"))

@@ -106,3 +106,10 @@ def test_too_many_bits_are_refused(spark):
     nodes = spark.createDataFrame([(1, 1)], "fp long, rep long")
     with pytest.raises(ValueError):
         simhash.links(nodes, Scratch(spark, "t"), most=5)
+
+
+def test_an_unrelated_text_under_the_same_id_stays(spark):
+    a, b, x = ("".join(f"{k}{i} " for i in range(60)) for k in "abx")
+    rows = [(5, a, "en", 1, ""), (5, b, "de", 2, ""), (6, x, "fr", 3, ""), (6, x, "fr", 3, ""), (7, a, "en", 4, ""), (None, a, None, 5, ""), (None, None, None, 6, "")]
+    kept = simhash.representatives(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.lang or "") for r in kept) == sorted([(0, "", ""), (0, a, ""), (5, a, "en"), (5, b, "de"), (6, x, "fr")])
