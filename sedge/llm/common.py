@@ -27,9 +27,11 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) a temporary one is made."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one machine (tests) gets a temporary one and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sedge-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -59,7 +61,10 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            self.drop_path(f"{self.root}/{name}")
+
+    def drop_path(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
 
 
 def rest_of(docs: DataFrame, text_col: str) -> Column:

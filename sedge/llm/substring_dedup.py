@@ -6,7 +6,11 @@ entries are dealt by key, sorted, and every place after the first of a (key, con
 is merge-joined with each older run, bucket by bucket and without a shuffle, as all runs are bucketed and sorted alike:
 entries with key and context in an older run are repeated too; where only the key is shared, the windows of both sides
 are fetched from their texts and verified one by one. Two runs of one size are compacted into the next larger one by a
-merge join that keeps the earliest place. Key and context are 128 bits of hash, key and window hash likewise.
+merge join that keeps the earliest place. Key and context are 128 bits of hash, key and window hash likewise; words
+themselves aren't compared beyond that. Runs are read as they were sorted, so the merge joins sort nothing again.
+
+An index with a folder of its own lasts: save() writes its list of runs beside them, open() reads it in another session, and
+clean_batch() takes the next batch of documents against it.
 
 A key that very many rows share is met once for each slice of text before it is dealt; the other places that the slice
 has are known to be repeated already and are dealt evenly.
@@ -18,6 +22,7 @@ first), are told apart and ordered by a hash of the text. Columns that the input
 
 from __future__ import annotations
 
+import json
 import uuid
 from contextlib import contextmanager
 
@@ -93,31 +98,48 @@ def _sorted_marks(batches):
 
 @contextmanager
 def _bucket_joins(spark: SparkSession):
-    """Joins on (key, context) may use that both sides are bucketed by key."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Joins on (key, context) may use that both sides are bucketed by key, and sorted: each bucket is one sorted file."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class FingerprintIndex:
     """Runs of earlier batches. add() takes a batch's anchors and tells what is repeated and what must be verified."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int):
-        self.spark, self.scratch, self.buckets = spark, scratch, buckets
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, folder: str | None = None):
+        self.spark, self.scratch, self.buckets, self.folder = spark, scratch, buckets, folder
         self.files = -(-buckets // 4)  # what joins find is small beside the runs: four buckets share a file
         self.name, self.made = f"sedge_run_{uuid.uuid4().hex[:12]}", 0
         self.runs: list[tuple[str, int]] = []  # table, batches in it
         self.spans: list[DataFrame] = []
         self.edges: list[DataFrame] = []
 
+    def save(self) -> None:
+        """Write the list of runs into the index's folder."""
+        said = json.dumps({"buckets": self.buckets, "name": self.name, "made": self.made, "runs": self.runs})
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/runs")
+
+    @classmethod
+    def open(cls, spark: SparkSession, scratch: Scratch, folder: str) -> "FingerprintIndex":
+        """The index that save() has left in a folder, in any session."""
+        said = json.loads(spark.read.text(f"{folder}/runs").first().value)
+        index = cls(spark, scratch, said["buckets"], folder)
+        index.name, index.made, index.runs = said["name"], said["made"], [tuple(r) for r in said["runs"]]
+        for name, _ in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_SCHEMA}) USING parquet CLUSTERED BY (key) SORTED BY (key, ctx) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        return index
+
     def _write(self, df: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        df.write.bucketBy(self.buckets, "key").sortBy("key", "ctx").option("compression", "zstd").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "key").sortBy("key", "ctx").option("compression", "zstd").option("path", f"{self.folder or self.scratch.root}/{name}").saveAsTable(name)
         return name
 
     def _firsts(self, name: str) -> DataFrame:
@@ -151,15 +173,23 @@ class FingerprintIndex:
         both = x.join(y.hint("merge"), ["key", "ctx"], "full_outer").select("key", "ctx", F.least("x", "y").alias("at"))
         name = self._write(both.select("key", "ctx", "at.*", F.lit(FIRST).alias("kind")))
         for old in (a, b):
-            self.spark.sql(f"DROP TABLE {old}")
-            self.scratch.drop(old)
+            self._drop(old)
         self.runs[-2:] = [(name, m + n)]
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        if self.folder:
+            self.scratch.drop_path(f"{self.folder}/{name}")
+        else:
+            self.scratch.drop(name)
+
     def close(self) -> None:
-        """Forget the runs; their files go."""
+        """Forget the runs; their files go, unless the index has a folder of its own."""
         for name, _ in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-            self.scratch.drop(name)
+            if self.folder:
+                self.spark.sql(f"DROP TABLE {name}")
+            else:
+                self._drop(name)
         self.runs = []
 
 
@@ -176,6 +206,23 @@ def buckets_for(docs: DataFrame) -> int:
     return 8 if size >= 1 << 60 else int(max(6, min(MOST_TASKS, size / (BUCKET_MB * 1e6))))
 
 
+def clean_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_words, n_removed, kept of a new batch, whose ids come after those of all batches before; the index has it then.
+
+    history: the documents of the batches before (id_col, text_col); only those are read again whose windows must be compared.
+    """
+    scratch = index.scratch = Scratch(docs.sparkSession, "substring")
+    rows = repeats.keyed(docs, scratch, id_col, text_col)
+    old = repeats.keyed(history.select(id_col, text_col), Scratch(docs.sparkSession, "substring-old"), id_col, text_col)
+    width = min(WIDTH, window - GRAM + 1)
+    index.spans, index.edges = [], []
+    index.add(repeats.windows(rows, "word", window, width, window - width + 1, (), _first_of_slice, _SCHEMA))
+    texts = rows.select("id", "salt", "text").union(old.select("id", "salt", "text"))
+    verified = repeats.repeated_windows(repeats.window_hashes(texts, _union(index.edges).distinct(), "word", window), scratch, later_only=True)
+    spans = scratch.table(_union(index.spans).union(verified), "spans")
+    return cut_words(repeats.with_spans(rows, spans, window)).withColumnRenamed("id", id_col)
+
+
 def repeated_spans(rows: DataFrame, scratch: Scratch, buckets: int, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """id, salt, start, n: runs of word windows that also start earlier. rows: id, salt, text of repeats.keyed()."""
     spark = rows.sparkSession
