@@ -83,7 +83,7 @@ def unpack(blob: bytes) -> list[str]:
 
 
 def frequencies(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct pre-tokens by bucket, and of each document: how many it has, their places in the block's order, how often."""
+    """A block's distinct pre-tokens by bucket, and of each document: how many it has, steps from one's place in the block's order to the next's, how often."""
     number: dict[str, int] = defaultdict()
     number.default_factory = number.__len__
     sizes, places, times = [], [], []
@@ -101,7 +101,14 @@ def frequencies(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarr
     cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=BUCKETS))).tolist()
     ordered = [tokens[i] for i in order.tolist()]
     flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-    return [ordered[a:b] for a, b in zip(cuts, cuts[1:])], np.array(sizes, np.int64), place[flat(places)], flat(times)
+    sizes, times = np.array(sizes, np.int64), flat(times)
+    key = np.repeat(np.arange(len(sizes)) << 32, sizes) | place[flat(places)]
+    order = np.argsort(key)
+    at = key[order] & 0xFFFFFFFF
+    step = np.diff(at, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    step[first] = at[first]
+    return [ordered[a:b] for a, b in zip(cuts, cuts[1:])], sizes, step, times[order]
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -122,8 +129,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
 
         name, k = TaskContext.get().partitionId() << 32, 0
         for part, raw, bounds in gathered(batches, block):
-            sent, sizes, places, times = frequencies([raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])])
-            facts = _planes(sizes), _planes(places, times)
+            sent, sizes, step, times = frequencies([raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])])
+            facts = _planes(sizes), _planes(step, times)
             yield pa.RecordBatch.from_arrays([pa.array([name + k]), pa.array([part.to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(bounds)], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in facts), pa.array([[pack(t) if t else None for t in sent]], pa.list_(pa.binary()))], ["block", "ids", "n_bytes", "sizes", "frequencies", "sent"])
             k += 1
 
@@ -150,9 +157,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         out = []
         counts = np.concatenate([np.zeros(0, np.int64), *(_columns(b, 1)[0] for b in answers.sort_by("bucket").column("counts").to_pylist())])
         for row in blocks.to_pylist():  # one, as blocks have names of their own
-            (sizes,), (places, times) = _columns(row["sizes"], 1), _columns(row["frequencies"], 2)
+            (sizes,), (step, times) = _columns(row["sizes"], 1), _columns(row["frequencies"], 2)
+            ends, upto = np.cumsum(sizes), np.append(0, np.cumsum(step))
+            places = upto[1:] - np.repeat(upto[ends - sizes], sizes)
             sums = np.append(0, np.cumsum(counts[places] * times))
-            ends = np.cumsum(sizes)
             out.append(pa.table({"id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": pa.array(sums[ends] - sums[ends - sizes])}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("id", "n_bytes", "n_tokens")})
 
