@@ -207,14 +207,15 @@ def fold(id_col: Column, parts: int) -> Column:
 def sample_of(rows: DataFrame, each: int = ROWS, languages: int = LANGUAGES) -> list[tuple[str, str]]:
     """(lang, text) of `each` rows of each language, in order of h. rows: h (a hash over all 64 bits), lang, text.
 
-    A bound on the hash leaves about three times as many of each language, so the sort that follows is as small as the sample.
+    A bound on the hash, broadcast for the `languages` at most, leaves about three times as many of each language, so no text
+    but theirs is shuffled and the sort that follows is as small as the sample.
     """
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return []
     share = lambda n: min(1.0, (3 * each + 50) / n)
     bounds = rows.sparkSession.createDataFrame([(r.lang, -(1 << 63) + min((1 << 64) - 1, int(share(r["count"]) * (1 << 64)))) for r in counts], "of string, most long")
-    near = rows.join(bounds, F.col("lang") == F.col("of")).where(F.col("h") <= F.col("most")).select("h", "lang", "text")
+    near = rows.join(F.broadcast(bounds), F.col("lang") == F.col("of")).where(F.col("h") <= F.col("most")).select("h", "lang", "text")
     line = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return [(r.lang, r.text) for r in near.withColumn("at", line).where(F.col("at") <= each).orderBy("h", "lang", "text").select("lang", "text").collect()]
 
