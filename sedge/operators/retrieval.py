@@ -79,11 +79,13 @@ def fuse(arms: list[tuple[DataFrame, float, str]], k: int = s.RRF_K, limit: int
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", include_self: bool = False) -> DataFrame:
     """query, id, score, rank: exact nearest neighbours by cosine.
 
+    Rows without an id, a vector or a number in it are left out on both sides; vectors of different widths are an error.
+
     Queries go out in blocks of a fixed number of vectors; each task keeps its best k of a block's queries, so one
     pass over the vectors and k rows a task and query are all that a block costs.
     """
     spark = vectors.sparkSession
-    wide = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    wide = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
     rows, blocks = wide(vectors), []
     asked = wide(queries)
     many = -(-asked.count() // QUERY_BLOCK)

@@ -6,9 +6,9 @@ FLAGSHIP = "rrf_hybrid"
 
 
 def _plans():
-    from sedge.plans import documents, events, graph, memory, relational, retrieval, text
+    from sedge.plans import documents, events, graph, memory, relational, retrieval, serving, text
 
-    return [documents.PLANS, events.PLANS, graph.PLANS, memory.PLANS, relational.PLANS, retrieval.PLANS, text.PLANS]
+    return [documents.PLANS, events.PLANS, graph.PLANS, memory.PLANS, relational.PLANS, retrieval.PLANS, serving.PLANS, text.PLANS]
 
 
 def queries():

@@ -104,3 +104,12 @@ def test_said_again_and_built(spark):
     assert (round(got.x, 6), round(got.y, 6)) == (0.666667, 0.367879)
     votes = spark.createDataFrame([("m", 2, 1, False), ("m", 1, 2, True)], "memory string, at int, id int, up boolean")
     assert feedback.answer_step(votes).first().steps == [0.05, -0.05]
+
+
+def test_cosine_top_leaves_out_rows_without_a_vector(spark):
+    from sedge.operators import retrieval
+
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.9, 0.1]), (None, [1.0, 0.0]), (4, [None, 1.0]), (5, []), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query, r.id) for r in retrieval.cosine_top(df, df, k=1).collect()]
+    assert sorted(got)[:2] == [(1, 3), (3, 1)] and {q for q, _ in got} == {1, 3, 6}
