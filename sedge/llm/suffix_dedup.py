@@ -41,6 +41,8 @@ from .common import Rolling, Scratch, anchors, parts_for, slices
 WIDTH, GRAM = 128, 24
 #: MB of input for each task of a sort.
 TASK_MB = 16
+#: Ends of ranges (four numbers each) that are broadcast at most.
+FIXES = 100_000
 #: Rows of one rank that a task holds at most.
 PART = 1 << 18
 _RANK = 40  # bits of a rank that number the pairs of one task
@@ -111,7 +113,7 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
 
     rows are sorted by range over (pair, id, salt, start), so a pair that many rows have is dealt to several tasks.
     Each task numbers its distinct pairs; its first and last pair, which a neighbour may share, are told to the driver, two
-    rows a task, and join back (by broadcast only if Spark finds them small).
+    rows a task, and join back, by broadcast if they are no more than FIXES.
     """
     cols = [*_TIE, *(c for c in keep if c not in _TIE)]
     ordered = rows.select(*pair, *cols).repartitionByRange(n, *pair, *_TIE).sortWithinPartitions(*pair, *_TIE).withColumn("pid", F.spark_partition_id().cast("long"))
@@ -159,6 +161,7 @@ def rerank(rows: DataFrame, pair: list[str], keep: list[str], scratch: Scratch,
             fixes.append([r.pid, high[0], (r.pid << _RANK) + high[0], high[-1]])
             last = [high[1:-1], fixes[-1][2], fixes[-1]]
     table = found.sparkSession.createDataFrame(fixes, "pid long, local long, fixed long, drop boolean")
+    table = F.broadcast(table) if len(fixes) <= FIXES else table
     joined = found.join(table, ["pid", "local"], "left").where("not coalesce(drop, alone)")
     return joined.select(F.coalesce("fixed", F.shiftleft("pid", _RANK) + F.col("local")).alias("rank"), *keep)
 
