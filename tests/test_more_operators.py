@@ -185,3 +185,27 @@ def test_confidence_is_clamped_at_each_step(spark):
 
     got = spark.range(1).select(s.confidence_after(F.lit(0.95), F.array(F.lit(0.1), F.lit(0.1), F.lit(-0.05)))).first()[0]
     assert got == pytest.approx(0.95)
+
+
+def test_definitions_and_short_forms(spark):
+    rows = spark.createDataFrame([(1, "The European Central Bank (ECB) met the board (new)."), (2, '"Free cash" denotes money.'), (3, "nothing means much"), (4, None), (5, "Gross Margin (GM) and Net (XYZ)")], "id int, t string")
+    got = sorted((r.id, r.term) for r in extraction.definitions(rows, "id", "t").collect())
+    assert got == [(1, "ECB"), (1, "European Central Bank"), (2, "Free cash"), (5, "GM"), (5, "Gross Margin"), (5, "XYZ")]
+
+
+def test_summaries_take_the_sentences_that_others_share_words_with(spark):
+    from sedge.operators import documents
+
+    text = "Rivers carry water down the mountain. Water in rivers feeds the valley fields. Nobody mentioned bicycles yesterday evening. Mountain rivers flood the valley."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "Short.")], "doc_id long, text string")
+    got = {r.doc_id: r.summary for r in documents.summaries(df, sentences=2).collect()}
+    assert got[2] == got[3] == "" and "bicycles" not in got[1] and got[1].endswith("Mountain rivers flood the valley.")
+
+
+def test_routes_of_tickets_and_threads(spark):
+    from sedge.operators import evidence
+
+    asked = ["what of AB-123", "scroll back a bit", "remind me what it was", "i usually walk", "the high-level view", "list all of them", "hello"]
+    df = spark.createDataFrame(list(enumerate(asked)), "n int, q string")
+    got = [r.k for r in df.select("n", evidence.route(F.col("q")).alias("k")).orderBy("n").collect()]
+    assert got == ["EXACT_IDENTIFIER", "CONVERSATION_HISTORY", "CONVERSATION_HISTORY", "USER_MEMORY", "GLOBAL_SUMMARY", "DOCUMENT_MULTI_HOP", "GENERAL_SEMANTIC"]
