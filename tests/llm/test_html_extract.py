@@ -142,5 +142,5 @@ def test_learnt_weights(spark):
     pages = spark.createDataFrame(rows, SCHEMA)
     weights = h.learn(pages, sample=20)
     assert weights != h.PRIOR and weights == h.learn(pages.repartition(3), sample=20)
-    assert weights[1] > 0 > weights[2]
+    assert weights[2] < 0  # links speak against content
     assert h.learn(pages.limit(0)) == h.PRIOR
