@@ -163,28 +163,44 @@ def disjoint_function_words() -> dict[str, list[str]]:
     return {lang: sorted(own - set().union(*(s for other, s in sets.items() if other != lang))) for lang, own in sets.items()}
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _among(values: list[str]):
     return lambda w: w.isin(values)
 
 
+def _language_votes(low: Column, found: Column) -> Column:
+    """The struct of most votes; words that no language has are left out before the languages are counted."""
+    own_words = disjoint_function_words()
+    marked = {lang: F.when(low.rlike(f"[{letters}]"), 2).otherwise(0) for lang, letters in MARKER_LETTERS.items()}
+
+    def count(known: Column) -> Column:
+        votes = []
+        for i, (lang, own) in enumerate(own_words.items()):
+            n = F.size(F.filter(known, _among(own)))
+            votes.append(F.struct((n + marked[lang] if lang in marked else n).alias("n"), F.lit(lang == "en").alias("first"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")))
+        for lang in ("tr", "pl"):
+            votes.append(F.struct(marked[lang].alias("n"), F.lit(False).alias("first"), F.lit(-99).alias("order"), F.lit(lang).alias("lang")))
+        return F.array_max(F.array(*votes))
+
+    return _once(F.filter(found, _among(sorted(set().union(*own_words.values())))), count)
+
+
 def latin_language(text: Column, sample: int = 200) -> Column:
     """The language of a Latin text by marker letters (2) and function words of one language (1 each), English first among equals."""
-    low = F.lower(text)
     words_of = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)([^\W\d_]+(?:'[^\W\d_]+)?)"), 1)
     head = 20 * sample  # the first words are nearly always in so many characters; only then is the rest not read
-    enough = lambda h: F.when((F.size(h) > sample) | (F.length(low) <= head), h).otherwise(words_of(low))
-    found = F.slice(F.get(F.transform(F.array(words_of(F.substring(low, 1, head))), enough), F.lit(0)), 1, sample)
-    votes = []
-    for i, (lang, own) in enumerate(disjoint_function_words().items()):
-        n = F.size(F.filter(found, _among(own)))
-        if lang in MARKER_LETTERS:
-            n = n + F.when(low.rlike(f"[{MARKER_LETTERS[lang]}]"), 2).otherwise(0)
-        votes.append(F.struct(n.alias("n"), F.lit(lang == "en").alias("first"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")))
-    for lang in ("tr", "pl"):
-        votes.append(F.struct(F.when(low.rlike(f"[{MARKER_LETTERS[lang]}]"), 2).otherwise(0).alias("n"), F.lit(False).alias("first"), F.lit(-99).alias("order"), F.lit(lang).alias("lang")))
-    best = F.array_max(F.array(*votes))
-    plain = F.when(low.rlike("[äöü]"), "de").when(F.octet_length(text) == F.length(text), "en").otherwise("und")
-    return F.when(~text.rlike(r"\p{L}"), "und").when(best["n"] > 0, best["lang"]).otherwise(plain)
+
+    def vote(low: Column) -> Column:
+        whole = lambda h: F.when((F.size(h) > sample) | (F.length(low) <= head), h).otherwise(words_of(low))
+        found = F.slice(_once(words_of(F.substring(low, 1, head)), whole), 1, sample)
+        plain = F.when(low.rlike("[äöü]"), "de").when(F.octet_length(text) == F.length(text), "en").otherwise("und")
+        return _once(_language_votes(low, found), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise(plain))
+
+    return F.when(~text.rlike(r"\p{L}"), "und").otherwise(_once(F.lower(text), vote))
 
 
 def jaccard(a: Column, b: Column) -> Column:
