@@ -29,10 +29,12 @@ def lexical_terms(text: Column) -> Column:
     return F.transform(F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(BM25_STOP_WORDS)), t.stem)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, length."""
+def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, length; of the terms in wanted (term), if given. Terms that nobody wants leave before anything is shuffled."""
     rows = docs.select(F.col(id_col).alias("id"), lexical_terms(F.col(text_col)).alias("terms"))
     flat = rows.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")  # terms are computed once
+    if wanted is not None:
+        flat = flat.join(wanted.select("term").distinct(), "term", "left_semi")
     return flat.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -44,24 +46,27 @@ def top_per(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item_id", doc_id: str = "doc_id", query_text: str = "text", doc_text: str = "text") -> DataFrame:
     """query, id, score, rank: the best k documents of each query; ties go to the smaller id.
 
-    Postings are cut to the queries' terms before frequencies are counted, so what is shuffled is what can match.
+    Postings are cut to the queries' terms before they are shuffled. Document frequencies are counted over rows that keep all
+    columns of a posting, so both uses of the postings are one exchange and texts are read once.
     """
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(lexical_terms(F.col(query_text)))).alias("term"))
-    found = postings(docs, doc_id, doc_text).join(wanted.select("term").distinct(), "term")
+    found = postings(docs, doc_id, doc_text, wanted)
     n = docs.select(F.count("*").cast("double").alias("n"))
-    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df")).crossJoin(F.broadcast(n))  # one row
+    df = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("length") > 0)).cast("double").alias("df")).crossJoin(F.broadcast(n))  # one row
     weighted = found.join(df, "term").select("id", "term", (s.idf(F.col("n"), F.col("df")) * s.bm25_weight(F.col("tf"), F.col("length"))).alias("w"))
     hits = weighted.join(wanted, "term").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_per(hits, "query", k, F.desc("score"), F.asc("id"))
 
 
 def shared_words(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
-    """query, id, score, rank by the summed weight of the words that both have."""
+    """query, id, score, rank by the summed weight of the words that both have; texts are read once, as in bm25."""
     wanted = queries.select(F.col(query_id).alias("query"), F.explode(t.tokens(F.col("text"))).alias("word"))
-    said = docs.select(F.col(doc_id).alias("id"), F.explode_outer(t.tokens(F.col("text"))).alias("word")).join(wanted.select("word").distinct(), "word")
+    words = docs.select(F.col(doc_id).alias("id"), F.explode_outer(t.tokens(F.col("text"))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    said = words.groupBy("id", "word").agg(F.count("*").alias("times"))  # 1, but for ids that repeat
     n = docs.select(F.count("*").cast("double").alias("n"))
-    df = said.groupBy("word").agg(F.count("*").cast("double").alias("df")).crossJoin(F.broadcast(n))
-    hits = said.join(df, "word").join(wanted, "word").groupBy("query", "id").agg(F.round(F.sum(s.query_idf(F.col("n"), F.col("df"))), 6).alias("score"))
+    df = said.groupBy("word").agg(F.sum("times").cast("double").alias("df")).crossJoin(F.broadcast(n))
+    weight = s.query_idf(F.col("n"), F.col("df")) * F.col("times")
+    hits = said.join(df, "word").join(wanted, "word").groupBy("query", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_per(hits, "query", k, F.desc("score"), F.asc("id"))
 
 
