@@ -47,9 +47,22 @@ TURNS = [
     ("We decided to ship on Monday", ("decision", "decided", "ship on monday")),
     ("Decision: go", ("decision", "decided", "go")),
     ("I'm a staff engineer", ("attribute", "role", "staff engineer")),
-    ("I need to file the report by Friday", ("preference", "need", "to file the report by friday")),
+    ("I need to file the report by Friday", ("preference", "prefers", "to file the report by friday")),
+    ("I'd rather source eggs locally", ("preference", "prefers", "source eggs locally")),
+    ("I can't stand delays.", ("preference", "dislikes", "delays")),
+    ("I never use taxis", ("preference", "avoids", "taxis")),
+    ("I'm a nurse in Boston.", ("attribute", "role", "nurse at boston")),
+    ("I've moved to the marketing team", None),
+    ("Mir ist eine kurze Lieferzeit besonders wichtig", ("preference", "cares_about", "eine kurze lieferzeit")),
+    ("Permanently prefer weekly summaries", ("preference", "cares_about", "weekly summaries")),
+    ("To reset it, run the tool twice", ("procedure", "procedure", "")),
+    ("It has failed.", None),
+    ("the thing is odd", None),
+    ("the lift failed", ("event", "event", "")),
+    ("The lock code for the hazardous materials cage in Warehouse 3 is 8492", ("fact", "is", "8492")),
+    ("The kids and I went to the beach and it was great", None),
     ("What do I like?", None),
-    ("The moon is far.", None),
+    ("The moon is far.", ("fact", "is", "far")),
 ]
 
 
@@ -61,6 +74,12 @@ def test_rules_read_sentences(spark):
     assert sum(r.category == "verbatim_turn" for r in out) == len(TURNS)
 
 
+def test_clauses_and_subjects(spark):
+    rows = spark.createDataFrame([(1, "My name is Ann and my timezone is CET."), (2, "We have two vans. The Van is red."), (3, None), (4, " ")], "id int, text string")
+    out = extraction.facts(rows, "id", F.lit("user:a"), F.col("text")).where("category <> 'verbatim_turn'").collect()
+    assert sorted((r.id, r.sentence, r.subject, r.predicate, r.object) for r in out) == [(1, 0, "user:a", "name", "ann"), (1, 1, "user:a", "timezone", "cet"), (2, 0, "user:a", "have", "two vans"), (2, 1, "van", "is", "red")]
+
+
 def test_statement_kinds(spark):
     cases = [("Never use the lift if it smokes.", "CONDITIONAL_RULE"), ("Always lock the door.", "RULE"), ("Actually, it is Tuesday.", "CORRECTION"), ("The shop opened in May.", "LIFECYCLE"), ("The line is currently down.", "STATUS"), ("Is it?", None), ("Thanks!", None), ("Please list them", None), ("Water is wet.", "FACT")]
     rows = spark.createDataFrame([(x,) for x, _ in cases], "x string").select(extraction.statement_kind(F.col("x")).alias("k")).collect()
