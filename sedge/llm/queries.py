@@ -80,3 +80,18 @@ c AS (SELECT r, i, w, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEE
 k AS (SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
+
+# Windows of 400 bytes are named by md5 over five of 80 bytes, those by the bytes themselves; every start is compared, no anchors.
+ORACLE_SQL["op2_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, encode(coalesce(text, '')) AS b FROM documents),
+t AS (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT r, regexp_extract_all(hex(b), '..') AS x FROM d)),
+h4 AS (SELECT r, i, x, x || lead(x) OVER w || lead(x, 2) OVER w || lead(x, 3) OVER w AS h FROM t WINDOW w AS (PARTITION BY r ORDER BY i)),
+h16 AS (SELECT r, i, x, h || lead(h, 4) OVER w || lead(h, 8) OVER w || lead(h, 12) OVER w AS h FROM h4 WINDOW w AS (PARTITION BY r ORDER BY i)),
+h80 AS (SELECT r, i, x, md5(h || lead(h, 16) OVER w || lead(h, 32) OVER w || lead(h, 48) OVER w || lead(h, 64) OVER w) AS h FROM h16 WINDOW w AS (PARTITION BY r ORDER BY i)),
+h400 AS (SELECT r, i, x, md5(h || lead(h, 80) OVER w || lead(h, 160) OVER w || lead(h, 240) OVER w || lead(h, 320) OVER w) AS h FROM h80 WINDOW w AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, i, x, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM h400),
+c AS (SELECT r, i, x, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM s),
+e AS (SELECT r, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM c),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
