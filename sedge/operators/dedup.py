@@ -42,23 +42,25 @@ def contained(parts: DataFrame, holders: DataFrame, part_id: str, holder_id: str
     return both.groupBy("id").agg(F.min("inside").alias("inside"), F.count("*").alias("holders"))
 
 
-def likeness_pairs(left: DataFrame, right: DataFrame, least: float, left_id: str, right_id: str) -> DataFrame:
+def likeness_pairs(left: DataFrame, right: DataFrame, least: float, left_id: str, right_id: str, within: str | None = None) -> DataFrame:
     """a, b, jaccard of pairs whose sets of words are alike, by counting shared words (no pair without one is looked at).
 
     Prefix filter: of n words in order of rarity, the first n - ceil(least * n) + 1 of both sides must share one.
+    within: a column of both sides that pairs must agree in; a word of another value is another word then.
     """
-    sets = lambda df, i: df.select(F.col(i).alias("id"), F.array_sort(t.tokens(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    where = F.lit("") if within is None else F.col(within).cast("string")
+    sets = lambda df, i: df.select(F.col(i).alias("id"), where.alias("part"), F.array_sort(t.tokens(F.col("text"))).alias("w")).where(F.size("w") > 0)
     a, b = sets(left, left_id), sets(right, right_id)
-    rarity = a.union(b).select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rarity = a.union(b).select("part", F.explode_outer("w").alias("word")).groupBy("part", "word").agg(F.count("*").alias("n"))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        flat = df.select("id", F.size("w").alias("size"), F.explode_outer("w").alias("word")).join(rarity, "word")
+        flat = df.select("id", "part", F.size("w").alias("size"), F.explode_outer("w").alias("word")).join(rarity, ["part", "word"])
         order = F.row_number().over(Window.partitionBy("id").orderBy("n", "word"))
         kept = flat.withColumn("place", order).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1)
-        return kept.select("word", F.col("id").alias(name), F.col("size").alias(f"{name}_size"))
+        return kept.select("part", "word", F.col("id").alias(name), F.col("size").alias(f"{name}_size"))
 
-    met = prefix(a, "a").join(prefix(b, "b"), "word").where((F.col("a_size") >= least * F.col("b_size")) & (F.col("b_size") >= least * F.col("a_size"))).select("a", "b").distinct()
-    both = met.join(a.withColumnsRenamed({"id": "a", "w": "x"}), "a").join(b.withColumnsRenamed({"id": "b", "w": "y"}), "b")
+    met = prefix(a, "a").join(prefix(b, "b"), ["part", "word"]).where((F.col("a_size") >= least * F.col("b_size")) & (F.col("b_size") >= least * F.col("a_size"))).select("a", "b").distinct()
+    both = met.join(a.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(b.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
     return both.select("a", "b", F.round(t.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 

@@ -33,15 +33,20 @@ def consolidate(new: DataFrame, held: DataFrame) -> DataFrame:
     """id, decision, target, score, reason for each new statement against the current ones of its scope.
 
     Both: id, scope, owner, subject, predicate, object, content; new also negates (whether it says that it replaces something),
-    held also shared (others may read it). Pairs meet on equal content, on one slot, or on words alike enough to be
-    the same statement, so no scope is joined with itself. The first rung that holds decides; the writer's own statements go first.
+    held also shared (others may read it). Pairs meet on equal content, on one value of one slot, on the slot alone where a
+    new value replaces the one before or the statement says so, or on words alike enough to be the same statement, so
+    neither a scope nor a slot of many values is joined with itself. The first rung that holds decides; the writer's own statements go first.
     """
     feature = lambda df: df.withColumn("hash", t.normalized_hash(F.col("content"))).withColumn("slot", F.lower(F.trim("subject"))).withColumn("value", clean_object(F.col("object"))).withColumn("words", t.tokens(F.col("content"))).withColumn("figures", t.figures(F.col("content"))).withColumn("negated", t.has_negation(F.col("content")))
     a, b = feature(new), feature(held)
     by_hash = a.select("id", "scope", "hash").join(b.select(F.col("id").alias("target"), "scope", "hash"), ["scope", "hash"])
-    by_slot = a.select("id", "scope", "slot", "predicate").join(b.select(F.col("id").alias("target"), "scope", "slot", "predicate"), ["scope", "slot", "predicate"])
-    alike = dedup.likeness_pairs(new.select("id", F.col("content").alias("text")), held.select("id", F.col("content").alias("text")), LEXICAL, "id", "id")
-    pairs = by_hash.select("id", "target").union(by_slot.select("id", "target")).union(alike.select(F.col("a").alias("id"), F.col("b").alias("target"))).distinct()
+    slot, valued = ["scope", "slot", "predicate"], F.col("value") != ""
+    told = b.select(F.col("id").alias("target"), *slot, "value")
+    by_value = a.where(valued).select("id", *slot, "value").join(told, [*slot, "value"])
+    by_slot = a.where((single_valued(F.col("predicate")) & valued) | F.col("negates")).select("id", *slot).join(told, slot)
+    text = lambda df: df.select("id", "scope", F.col("content").alias("text"))
+    alike = dedup.likeness_pairs(text(new), text(held), LEXICAL, "id", "id", within="scope").select(F.col("a").alias("id"), F.col("b").alias("target"))
+    pairs = by_hash.select("id", "target").union(by_value.select("id", "target")).union(by_slot.select("id", "target")).union(alike).distinct()
     x = pairs.join(a.select("id", "scope", "owner", "slot", "predicate", "value", "hash", "words", "figures", "negated", "negates"), "id")
     named = {c: f"h_{c}" for c in ("scope", "owner", "slot", "predicate", "value", "hash", "words", "figures", "negated", "shared")}
     x = x.join(b.select(F.col("id").alias("target"), *(F.col(c).alias(n) for c, n in named.items())), "target").where(F.col("scope") == F.col("h_scope"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from sedge.functions import text as t
 from sedge.operators import documents as d
 from sedge.operators import evidence as ev
+from sedge.plans.events import _EST
 from sedge.plans.sql import frame
 
 
@@ -45,5 +46,12 @@ PLANS = {
     "summaries": frame("documents", lambda x: d.summaries(x).select("doc_id", F.length("summary").alias("n"), F.sha2("summary", 256).alias("hash"))),
     "query_routes": frame("conversations", lambda c: c.groupBy("role", ev.route(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("What did you say about ", "What do I think of ", "Give a summary of ", "Compare this with ", "On page 3, ", ""))), (F.col("turn") % 6 + 1).cast("int")), "text")).alias("kind")).agg(F.count("*").alias("n")), "SELECT role, ['CONVERSATION_HISTORY', 'USER_MEMORY', 'GLOBAL_SUMMARY', 'DOCUMENT_MULTI_HOP', 'DOCUMENT_LOCAL', 'GENERAL_SEMANTIC'][turn % 6 + 1] AS kind, count(*) AS n FROM conversations GROUP BY 1, 2"),
     "claim_verdicts": frame("conversations", _verify),
-    "budget_packing": frame("documents", _pack),
+    "budget_packing": frame(
+        "documents",
+        _pack,
+        f"""WITH RECURSIVE d AS (SELECT source, doc_id, lang IS NOT DISTINCT FROM 'de' AS de, {_EST} AS size, row_number() OVER (PARTITION BY source ORDER BY n_chars NULLS FIRST, doc_id) AS k FROM documents),
+        f AS (SELECT DISTINCT source, NULL::BIGINT AS id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS capped, false AS took FROM documents UNION ALL
+        SELECT d.source, d.doc_id, d.k, f.used + x.took::INT * d.size, f.capped + (x.took AND d.de)::INT * d.size, x.took FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.k = f.k + 1, LATERAL (SELECT f.used + d.size <= 3000 AND (NOT d.de OR f.capped + d.size <= 500) AS took) x)
+        SELECT source AS query, id, used FROM f WHERE took""",
+    ),
 }

@@ -97,7 +97,15 @@ PLANS = {
         v AS (SELECT conv_id, unnest(range(1, max(n) // 4 + 1))::INT AS version FROM l GROUP BY conv_id), sp AS (SELECT conv_id, version, n, line, sum(length(line) + 1) OVER (PARTITION BY conv_id, version ORDER BY n DESC) AS chars FROM l JOIN v USING (conv_id) WHERE n <= version * 4)
         SELECT conv_id, version, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY n)) AS hash FROM sp WHERE chars <= 401 GROUP BY 1, 2""",
     ),
-    "archive_segments": frame("conversations", lambda c: conversation.encode_segments(conversation.plan_segments(c, 200, 3)).select("conv_id", "segment", "n", "first", "last", "sha256")),
+    "archive_segments": frame(
+        "conversations",
+        lambda c: conversation.encode_segments(conversation.plan_segments(c, 200, 3)).select("conv_id", "segment", "n", "first", "last", "sha256"),
+        """WITH RECURSIVE m AS (SELECT *, strlen(text) + 256 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+        f AS (SELECT conv_id, k, 0::BIGINT AS segment, size AS used, 1 AS n FROM m WHERE k = 1 UNION ALL
+        SELECT m.conv_id, m.k, f.segment + x.cut::INT, CASE WHEN x.cut THEN m.size ELSE f.used + m.size END, CASE WHEN x.cut THEN 1 ELSE f.n + 1 END FROM f JOIN m ON m.conv_id = f.conv_id AND m.k = f.k + 1, LATERAL (SELECT f.used + m.size > 1000 OR f.n >= 3 AS cut) x)
+        SELECT conv_id, segment, count(*) AS n, min(turn) AS first, max(turn) AS last, sha256(string_agg('{"conv_id": ' || conv_id || ', "role": ' || to_json(role)::VARCHAR || ', "text": ' || to_json(text)::VARCHAR || ', "turn": ' || turn || '}' || chr(10), '' ORDER BY turn)) AS sha256
+        FROM f JOIN m USING (conv_id, k) GROUP BY 1, 2""",
+    ),
     "slot_scd2": frame("events", versions, f"WITH {_SLOT} SELECT * FROM versions"),
     "as_of_snapshot": frame("events", _snapshot, f"WITH {_SLOT} SELECT event_type, count(*) AS n, sum(v)::BIGINT AS total, max(ts) AS newest FROM versions WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15 12:00:00') GROUP BY 1"),
     "known_at_snapshot": frame("events", _known, f"WITH {_SLOT} SELECT user_id, event_type, event_id, v FROM versions WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND (valid_to IS NULL OR valid_to >= TIMESTAMP '2024-01-15 12:00:00')"),
@@ -120,7 +128,14 @@ PLANS = {
         """WITH s AS (SELECT user_id, list(CASE WHEN event_type = 'purchase' THEN 0.1 ELSE -0.05 END::DOUBLE ORDER BY ts, event_id) AS d FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
         SELECT user_id, round(list_reduce(list_concat([0.5::DOUBLE], d), lambda c, x: least(1.0, greatest(0.05, c + x))), 6) AS confidence, len(d)::INT AS n FROM s""",
     ),
-    "fiscal_periods": frame("orders", _fiscal),
+    "fiscal_periods": frame(
+        "orders",
+        _fiscal,
+        """WITH y AS (SELECT y, make_date(y::INT + 1, 1, 31) AS e FROM range(1989, 2031) t(y)), ends AS (SELECT y, e + ((9 - isodow(e)) % 7 - 3)::INT AS e FROM y), years AS (SELECT y, lag(e) OVER (ORDER BY y) + 1 AS a, e AS b FROM ends),
+        w AS (SELECT y, (o_orderdate::DATE - a) // 7 AS w FROM orders LEFT JOIN years ON o_orderdate::DATE BETWEEN a AND b),
+        q AS (SELECT y, w, least(w // 13, 3) AS q FROM w), p AS (SELECT y, w, q, q * 3 + CASE WHEN w - q * 13 < 4 THEN 1 WHEN w - q * 13 < 9 THEN 2 ELSE 3 END AS p FROM q)
+        SELECT y::INT AS fiscal_year, p::INT AS period, (q + 1)::INT AS quarter, count(*) AS n, min(w + 1)::INT AS week FROM p GROUP BY y, p, q""",
+    ),
     "relative_dates": frame(
         "orders",
         _relative,

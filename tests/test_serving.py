@@ -2,7 +2,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from sedge.operators import documents, serving
+from sedge.operators import dedup, documents, serving
 
 
 def rows(df, *cols):
@@ -113,3 +113,10 @@ def test_cosine_top_leaves_out_rows_without_a_vector(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.query, r.id) for r in retrieval.cosine_top(df, df, k=1).collect()]
     assert sorted(got)[:2] == [(1, 3), (3, 1)] and {q for q, _ in got} == {1, 3, 6}
+
+
+def test_likeness_within_a_column(spark):
+    rows = spark.createDataFrame([(1, "x", "red green blue"), (2, "y", "green blue red"), (3, "x", "blue red green"), (4, None, "red green blue")], "id int, scope string, text string")
+    found = lambda **k: {(r.a, r.b) for r in dedup.likeness_pairs(rows, rows, 0.8, "id", "id", **k).where("a < b").collect()}
+    assert found() == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+    assert found(within="scope") == {(1, 3)}
