@@ -25,6 +25,8 @@ ASKED = {
 }
 GLOSSARY = {"sku": "stock keeping unit", "po": "purchase order", "oos": "out of stock", "aov": "average order value", "moq": "minimum order quantity", "eta": "estimated time of arrival"}
 # Ends of fixed values.
+#: Questions are numbered within groups of about so many.
+QUERY_GROUP = 4096
 
 
 def memory_scores(arms: DataFrame, facts: DataFrame) -> DataFrame:
@@ -97,14 +99,32 @@ def expanded(seeds: DataFrame, edges: DataFrame, texts: DataFrame, budget: int =
     return once.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= budget).select("query", "id", "edge", "seed", F.try_element_at(score, F.col("edge")).alias("score"), "place")
 
 
+def _numbered(packed: DataFrame) -> DataFrame:
+    """query, block, bit of every distinct question but null: 64 to a block as far as they go, the same numbers whenever they are computed."""
+    asked = packed.where(F.col("query").isNotNull()).select("query").distinct()
+    many = max(1, -(-asked.count() // QUERY_GROUP))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("query")) - 1
+    rows = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(many))).withColumn("place", place)
+    numbers = rows.select("query", (F.floor(F.col("place") / 64) * many + F.col("part")).alias("block"), (F.col("place") % 64).alias("bit"))
+    return F.broadcast(numbers) if many == 1 else numbers
+
+
 def missing_companions(packed: DataFrame, edges: DataFrame, below: DataFrame) -> DataFrame:
     """query, seed, needs: definitions, footnotes and references that packed rows need and neither they nor anything below them supply.
 
-    below: node, part (every node with all that is under it, itself included).
+    below: node, part (every node with all that is under it, itself included). Questions go as bits, 64 to a word, so a row, an
+    edge or a node passes an exchange once for a block of questions and not once for each. A null question is supplied by none.
     """
-    needs = packed.select("query", F.col("id").alias("seed")).join(edges.where(F.col("kind").isin(REQUIRED)), F.col("seed") == F.col("src")).select("query", "seed", F.col("dst").alias("needs")).distinct()
-    supplied = needs.join(below, F.col("needs") == F.col("node")).join(packed.select("query", F.col("id").alias("part")), ["query", "part"], "left_semi").select("query", "seed", "needs").distinct()
-    return needs.join(supplied, ["query", "seed", "needs"], "left_anti")
+    numbers = _numbered(packed)
+    bits = F.bit_or(F.expr("shiftleft(1L, coalesce(bit, 0))")).alias("bits")
+    held = packed.join(numbers, "query", "left").groupBy("id", F.coalesce("block", F.lit(-1)).alias("block")).agg(bits)  # used twice as it is, so one exchange
+    have = below.join(held, F.col("part") == F.col("id")).groupBy("node", "block").agg(F.bit_or("bits").alias("have"))
+    needed = edges.where(F.col("kind").isin(REQUIRED)).join(held, F.col("src") == F.col("id")).groupBy(F.col("src").alias("seed"), F.col("dst").alias("needs"), "block").agg(F.bit_or("bits").alias("bits"))
+    left = needed.join(have.withColumnRenamed("block", "b"), (F.col("needs") == F.col("node")) & (F.col("block") == F.col("b")), "left")
+    have_not = F.bitwise_not(F.when(F.col("block") >= 0, F.col("have")).otherwise(F.lit(None).cast("long")))
+    lacking = left.withColumn("lacks", F.coalesce(F.col("bits").bitwiseAND(have_not), "bits")).where("lacks <> 0")
+    single = lacking.select("seed", "needs", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("lacks", i) == 1)).alias("bit"))
+    return single.join(numbers, ["block", "bit"], "left").select("query", "seed", "needs")
 
 
 def followed(ranked: DataFrame, replaced: DataFrame, hops: int = 4) -> DataFrame:

@@ -54,10 +54,10 @@ def _followed(events):
 
 
 def _companions(lineitem):
-    line = lineitem.select((F.col("l_orderkey") % 50).alias("query"), F.col("l_partkey").alias("id")).distinct()
+    line = lineitem.select((F.col("l_orderkey") % 50).alias("query"), F.col("l_partkey").alias("id"))
     kind = F.element_at(F.array(F.lit("DEFINED_BY"), F.lit("NEXT"), F.lit("FOOTNOTE")), (F.col("l_suppkey") % 3 + 1).cast("int"))
-    edges = lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1).alias("dst"), kind.alias("kind")).distinct()
-    below = lineitem.select(F.col("l_suppkey").alias("node"), F.col("l_suppkey").alias("part")).union(lineitem.select("l_suppkey", "l_partkey")).distinct()
+    edges = lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1).alias("dst"), kind.alias("kind"))
+    below = lineitem.select(F.col("l_suppkey").alias("node"), F.col("l_suppkey").alias("part")).distinct().union(lineitem.select("l_suppkey", "l_partkey"))
     return serving.missing_companions(line, edges, below)
 
 
