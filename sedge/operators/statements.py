@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from sedge.functions import scores as s
@@ -29,6 +33,8 @@ DOCUMENT_FACTS = [
     ("has_value", r"([A-Z][\w\- ]{1,40}?) (?:was|were|is|amounted to|reached|rose to|fell to|increased to|decreased to) ((?:EUR|USD|GBP|CHF) ?\d[\d.,]*(?: (?:thousand|million|billion))?|\d[\d.,]*%)", 0.8),
 ]
 # Ends of fixed values.
+#: Of one person, about so many questions and messages are weighed in one place.
+CHAT_QUESTIONS, CHAT_MESSAGES = 16384, 32768
 
 
 def identifiers(subject: Column) -> Column:
@@ -202,13 +208,64 @@ def replay_layers(messages: DataFrame, whole: int, text_only: int, thread: str =
 def earlier_chats(messages: DataFrame, questions: DataFrame, share: float = 0.5) -> DataFrame:
     """query, thread, at, weight of assistant messages within a share of the best match of a question, by its words' rarity.
 
-    messages: thread, at, role, text, person; questions: query, person, text.
+    messages: thread, at, role, text, person (a thread is one person's); questions: query, person, text. Blocks of a person's questions meet blocks of the
+    messages in one place and every pair is weighed there, first for the best of each question, then for what is near it, so only
+    the texts' words and the bests are exchanged, not the pairs.
     """
-    word = lambda df: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(df), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: F.length(w) > 1))).alias("word")
-    asked = questions.select("query", "person", word(F.col("text")))
-    said = messages.select("person", "thread", "at", "role", word(F.col("text"))).join(asked.select("person", "word").distinct(), ["person", "word"])
-    n = messages.groupBy("person").agg(F.count("*").cast("double").alias("n"))
-    df = said.groupBy("person", "word").agg(F.count("*").cast("double").alias("df")).join(n, "person")
-    weighed = said.join(df, ["person", "word"]).withColumn("w", s.query_idf(F.col("n"), F.col("df")))
-    hits = asked.join(weighed, ["person", "word"]).where("role = 'assistant'").groupBy("query", "thread", "at").agg(F.round(F.sum("w"), 6).alias("weight"))
-    return hits.withColumn("best", F.max("weight").over(Window.partitionBy("query"))).where(F.col("weight") >= share * F.col("best")).drop("best")
+    found = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: F.length(w) > 1))
+    asked = questions.where("person is not null").select("query", "person", F.explode(found(F.col("text"))).alias("word"))
+    said = messages.where("person is not null").select("person", F.explode(found(F.col("text"))).alias("word"))
+    n = messages.groupBy("person").agg(F.count("*").cast("double").alias("n"), F.ceil(F.count_if(F.col("role") == "assistant") / CHAT_MESSAGES).alias("parts"))
+    sizes = n.join(questions.groupBy("person").agg(F.ceil(F.count("*") / CHAT_QUESTIONS).alias("blocks")), "person")
+    df = said.groupBy("person", "word").agg(F.count("*").cast("double").alias("df"))
+    words = asked.join(df, ["person", "word"]).join(sizes, "person").where("parts > 0").groupBy("person", "query", "parts", "blocks").agg(F.collect_list(F.struct("word", s.query_idf(F.col("n"), F.col("df")).alias("w"))).alias("words"))
+    block, part = F.pmod(F.xxhash64("query"), "blocks").cast("int").alias("block"), F.pmod(F.xxhash64("thread", "at"), "parts").cast("int").alias("part")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    sides = words.select("person", "query", F.col("words.word").alias("words"), F.col("words.w").alias("w"), block, all_of("parts").alias("part"))
+    texts = messages.where("role = 'assistant'").join(sizes, "person").select("person", "thread", "at", F.array_join(found(F.col("text")), " ").alias("said"), part, all_of("blocks").alias("block"))
+    kind = {c: f.schema[c].dataType for f, c in ((questions, "query"), (messages, "thread"), (messages, "at"))}
+
+    def weighed(schema: T.StructType, row):
+        arrow = to_arrow_schema(schema)
+
+        def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+            if not asked.num_rows or not told.num_rows:
+                return arrow.empty_table()
+            known = {w for words in asked["words"].to_pylist() for w in words}
+            places, at, lists = {}, [], {}
+            keys = list(zip(told["thread"].to_pylist(), told["at"].to_pylist()))
+            for key, text in zip(keys, told["said"].to_pylist()):
+                at.append(places.setdefault(key, len(places)))
+                for w in known.intersection((text or "").split(" ")):
+                    lists.setdefault(w, []).append(at[-1])
+            lists = {w: np.array(v) for w, v in lists.items()}
+            add = np.add.at if len(places) < len(keys) else lambda total, i, w: total.__setitem__(i, total[i] + w)
+            threads, ats = (pa.array([k[i] for k in places], told.schema.field(c).type) for i, c in enumerate(("thread", "at")))
+            out = [[] for _ in arrow]
+            bests = asked["best"].to_pylist() if "best" in asked.column_names else [None] * asked.num_rows
+            for query, words, w, best in zip(asked["query"].to_pylist(), asked["words"].to_pylist(), asked["w"].to_pylist(), bests):
+                total, hit = np.zeros(len(places)), False
+                for word, x in zip(words, w):
+                    if word in lists:
+                        add(total, lists[word], x)
+                        hit = True
+                if hit:
+                    for chunks, new, f in zip(out, row(query, threads, ats, np.round(total, 6), best), arrow):
+                        chunks.append(pa.array(new, f.type) if not isinstance(new, pa.Array) else new.cast(f.type))
+            return pa.Table.from_arrays([pa.chunked_array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+
+        return run
+
+    def best_of(query, threads, ats, total, _):
+        return [query], [float(total.max())]
+
+    def near(query, threads, ats, total, best):
+        i = np.flatnonzero((total >= share * best) & (total > 0))
+        return [query] * len(i), threads.take(pa.array(i)), ats.take(pa.array(i)), total[i]
+
+    by = ["person", "block", "part"]
+    met = lambda left, schema, row: left.groupBy(*by).cogroup(texts.groupBy(*by)).applyInArrow(weighed(schema, row), schema)
+    best = met(sides, T.StructType().add("query", kind["query"]).add("best", "double"), best_of).groupBy("query").agg(F.max("best").alias("best"))
+    hits = T.StructType().add("query", kind["query"]).add("thread", kind["thread"]).add("at", kind["at"]).add("weight", "double")
+    known = sides.join(best.withColumnRenamed("query", "q"), F.col("query").eqNullSafe(F.col("q"))).drop("q")
+    return met(known, hits, near)
