@@ -83,3 +83,19 @@ def test_repeated_and_null_ids(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("most,written", [(100_000, 0), (1, 1)])
+def test_ranks_are_written_again_only_without_a_broadcast(spark, monkeypatch, most, written):
+    """Each table that is written costs disk, and its files a process each on executors without Hadoop's native library."""
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
+    monkeypatch.setattr(suffix_dedup, "FIXES", most)
+    names, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a: names.append(name) or table(self, df, name, *a))
+    texts = corpus(4, 30)
+    rows = [(i, t, 5, "r") for i, t in enumerate(texts)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=24).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == dict(enumerate(brute(texts, 24)))
+    pairs = [x for x in names if x.endswith("-pairs")]
+    assert len(pairs) > 2 and len([x for x in names if "ranks" in x]) == written * len(pairs)
