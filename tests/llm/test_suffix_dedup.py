@@ -99,3 +99,45 @@ def test_ranks_are_written_again_only_without_a_broadcast(spark, monkeypatch, mo
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == dict(enumerate(brute(texts, 24)))
     pairs = [x for x in names if x.endswith("-pairs")]
     assert len(pairs) > 2 and len([x for x in names if "ranks" in x]) == written * len(pairs)
+
+
+def test_each_doubling_writes_one_table_and_few_columns(spark, monkeypatch):
+    """What a step looks up comes by one join, cores are sorted once, and a row takes no pair and no salt along that it doesn't need."""
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
+    tables, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, *a: tables.setdefault(name, df.columns) and table(self, df, name, *a))
+    texts = corpus(5, 30)
+    rows = [(i, t, 5, "r") for i, t in enumerate(texts)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=24).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == dict(enumerate(brute(texts, 24)))
+    steps = sorted(int(x[4:]) for x in tables if x.startswith("step"))
+    assert len(steps) > 1 and steps == [1 << k for k in range(len(steps))]
+    own = {x for x in tables if x.startswith("step") or x.endswith("-pairs")} | {"positions", "contexts"}
+    assert own == {"positions", "contexts", *(f"step{h}" for h in steps), *(f"h{h}-pairs" for h in steps)}
+    assert not [x for x in tables if x.startswith(("ready", "on")) and x[-1].isdigit()]
+    assert set(tables["positions"]) == {"id", "place", "on", "pack", "name", "tail", "ctx"}
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_keys_tell_cores_apart(spark, monkeypatch, once):
+    monkeypatch.setattr(suffix_dedup, "WIDTH", 7)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 3)
+    window = 40
+    texts = [t or "" for t in corpus(6, 30)] + ["z" * 120, "q" * 90 + "z" * 60]
+    rows = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    scratch = Scratch(spark, "test")
+    keyed = repeats.keyed(rows, scratch)
+    cores = lambda r: texts[r.id].encode()[r.place : r.place + window - 7 + 1]
+    want, found = {}, {}
+    for r in suffix_dedup.positions(keyed, window).where("n > 0").collect():
+        want.setdefault(cores(r), set()).add((r.id, r.start))
+    for r in suffix_dedup.unpacked(suffix_dedup.named_cores(keyed, window, scratch, 5, once), "key", "id", "place", "start").collect():
+        found.setdefault(r.key, set()).add((cores(r), r.id, r.start))
+    assert all(len({core for core, _, _ in x}) == 1 for x in found.values())
+    assert {frozenset(x) for x in want.values() if len(x) > 1} == {frozenset(x[1:] for x in y) for y in found.values() if len(y) > 1}
+
+
+def test_windows_too_long_for_a_pack_are_refused(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.positions(spark.createDataFrame([], "id long, salt long, text string"), 1 << 23)
