@@ -346,6 +346,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
     # Rows that tie on the hash are copies, so it doesn't matter which of them the limit leaves.
     got = rows.where(F.col("h") <= last).limit(2 * sample).select("html").mapInArrow(run, "label int, x array<double>").collect()
+    got.sort()  # sums of floats follow the order of rows, which is that of partitions
     return fit(np.array([r.label for r in got], float), np.array([r.x for r in got])) if got else PRIOR
 
 

@@ -144,3 +144,12 @@ def test_learnt_weights(spark):
     assert weights != h.PRIOR and weights == h.learn(pages.repartition(3), sample=20)
     assert weights[2] < 0  # links speak against content
     assert h.learn(pages.limit(0)) == h.PRIOR
+
+
+def test_weights_do_not_follow_the_order_of_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "u", "<body>" + " ".join(rng.sample(AROUND, 4)) + f"<article>{BODY}</article>", 0, 0) for i in range(30)]
+    pages, seen, fit = spark.createDataFrame(rows, SCHEMA), [], h.fit
+    monkeypatch.setattr(h, "fit", lambda labels, x: seen.append((labels.tolist(), x.tolist())) or fit(labels, x))
+    weights = [h.learn(p) for p in (pages.coalesce(1), spark.createDataFrame(rows[::-1], SCHEMA).coalesce(1), pages.repartition(4))]
+    assert seen[0] == seen[1] == seen[2] and weights[0] == weights[1] == weights[2]
